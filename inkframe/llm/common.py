@@ -53,6 +53,15 @@ def bounded_sample(df: DataFrame, rows: int, *keys: str, seed: int = 17) -> Data
     return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(span)) < F.lit(int(span * rows / n)))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id as text, so that null ids don't turn the others into floats in pandas, and text, empty where null."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id written as decimal text, modulo `modulus`; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
