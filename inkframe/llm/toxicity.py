@@ -66,7 +66,7 @@ class Model:
     bias: float | None
 
 
-def fit(labelled: DataFrame, sample_rows: int = 16_000, least_rows: int = 5, chi_square: float = 11.0, most: int = 512, ridge: float = 2.0, counterfactual: float = 50.0) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = 16_000, least_rows: int = 5, chi_square: float = 11.0, most: int = 512, ridge: float = 0.2, counterfactual: float = 50.0) -> Model:
     """Fit from rows with text and toxic (0 or 1); about `sample_rows` of them, chosen by hash, if there are more."""
     small_batches(labelled.sparkSession)
     rows = bounded_sample(labelled.where("toxic is not null").select("toxic", F.coalesce("text", F.lit("")).alias("text")), sample_rows, "toxic", "text")
