@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from inkframe.llm.common import batches, bounded_sample, crc_mod, keyed, small_batches, unkeyed
 
 SPACE = 1 << 22
+STEM = 5
 REMEMBERED = 500_000
 #: Terms that name groups (fixed values); each is swapped for the next of its line.
 IDENTITY = (
@@ -57,6 +58,11 @@ def feature(word: str) -> int:
     return xxhash.xxh32_intdigest(word) % SPACE
 
 
+def features(word: str) -> tuple[int, ...]:
+    """The word's own feature, and for longer words one for their first letters: what is unseen may share a stem."""
+    return (feature(word),) if len(word) <= STEM else (feature(word), feature(word[:STEM] + "*"))
+
+
 @dataclass
 class Model:
     """The features' weights and the bias; bias None: nothing learnt."""
@@ -66,7 +72,7 @@ class Model:
     bias: float | None
 
 
-def fit(labelled: DataFrame, sample_rows: int = 16_000, least_rows: int = 5, chi_square: float = 11.0, most: int = 512, ridge: float = 0.2, counterfactual: float = 50.0) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = 16_000, least_rows: int = 5, chi_square: float = 11.0, most: int = 512, ridge: float = 0.03, counterfactual: float = 50.0) -> Model:
     """Fit from rows with text and toxic (0 or 1); about `sample_rows` of them, chosen by hash, if there are more."""
     small_batches(labelled.sparkSession)
     rows = bounded_sample(labelled.where("toxic is not null").select("toxic", F.coalesce("text", F.lit("")).alias("text")), sample_rows, "toxic", "text")
@@ -78,8 +84,8 @@ def fit(labelled: DataFrame, sample_rows: int = 16_000, least_rows: int = 5, chi
             has, twin = [], []
             for t in part["text"]:
                 ws = {x for w in set(t.split()) if (x := plain(w))}
-                has.append(sorted({feature(w) for w in ws}))
-                twin.append(sorted({feature(SWAP.get(w, w)) for w in ws}) if not ws.isdisjoint(SWAP) else None)
+                has.append(sorted({f for w in ws for f in features(w)}))
+                twin.append(sorted({f for w in ws for f in features(SWAP.get(w, w))}) if not ws.isdisjoint(SWAP) else None)
             yield pd.DataFrame({"toxic": part["toxic"].astype("int32"), "has": has, "twin": twin})
 
     got = rows.mapInPandas(extract, "toxic int, has array<int>, twin array<int>").toPandas()
@@ -96,8 +102,8 @@ def fit(labelled: DataFrame, sample_rows: int = 16_000, least_rows: int = 5, chi
     chi[(df < least_rows) | (tf <= want)] = 0
     best = np.argsort(-chi, kind="stable")[:most]
     chosen = known[best[chi[best] >= chi_square]]
-    names = {feature(w): feature(v) for w, v in SWAP.items()}
-    chosen = np.unique(np.r_[chosen, [names[c] for c in chosen.tolist() if c in names]].astype(np.int64))
+    twins = [feature(SWAP[w]) for w in SWAP if not {*features(w)}.isdisjoint(chosen.tolist())]
+    chosen = np.unique(np.r_[chosen, twins].astype(np.int64))
 
     def matrix(lists: list) -> np.ndarray:
         out = np.zeros((len(lists), len(chosen) + 1))
@@ -129,7 +135,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id and score, between 0 and 1."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most `most` features and their twins
-    memory: dict[str, int] = {}
+    memory: dict[str, tuple[int, ...]] = {}
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -144,9 +150,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 memory.clear()
             cut = [set(t.split()) for t in part["text"]]
             for w in set().union(*cut).difference(memory):
-                memory[w] = place.get(feature(plain(w)), -1)
-            found = [set(map(memory.__getitem__, ws)) for ws in cut]
-            raw = np.array([m.bias + sum(m.weights[i] for i in f if i >= 0) for f in found])
+                memory[w] = tuple(place[f] for f in features(plain(w)) if f in place)
+            found = [{i for w in ws for i in memory[w]} for ws in cut]
+            raw = np.array([m.bias + sum(m.weights[i] for i in sorted(f)) for f in found])
             yield pd.DataFrame({"doc_id": part["doc_id"], "score": 1 / (1 + np.exp(-np.clip(raw, -500, 500)))})
 
     return unkeyed(keyed(docs).mapInPandas(run, "doc_id string, score double"))
