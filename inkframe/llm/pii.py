@@ -80,7 +80,7 @@ def bootstrap(base: DataFrame, rounds: int = 2, min_support: int = 5, min_patter
 
     `min_support` distinct known instances and a share of `min_pattern` known ones make a pattern confident.
     """
-    spots = F.concat(*(F.transform(k, lambda x, i=i: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["c"].alias("c"))) for i, k in enumerate((*KINDS, "cand"))))
+    spots = F.concat(*(F.expr(f"transform({k}, x -> named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v, 'c', x.c))") for i, k in enumerate((*KINDS, "cand"))))
     seen = base.select("doc_id", "h", F.explode(spots).alias("x"), *KINDS).select("doc_id", "h", "x.*", *KINDS)
     clear = F.lit(True)
     for k in KINDS:

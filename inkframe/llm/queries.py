@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm import bpe, langid, packing, pii, quality, toxicity
+from inkframe.llm import bpe, langid, packing, pii, quality, secrets, toxicity
 from inkframe.llm.common import crc_mod, table
 
 
@@ -30,6 +30,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_packing": op2_packing,
+        "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
         "op8_quality_rules": op8_quality_rules,
         "op9_language_id": op9_language_id,
