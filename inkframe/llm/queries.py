@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm import bpe, langid, packing, pii, quality, secrets, toxicity
+from inkframe.llm import bpe, langid, minhash, packing, pii, quality, secrets, toxicity
 from inkframe.llm.common import crc_mod, table
 
 
@@ -46,6 +46,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("score"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_documents(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
+        "op7_minhash": op7_minhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_language_id": op9_language_id,
         "op10_bpe": op10_bpe,
