@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm import bpe, langid, minhash, packing, pii, quality, secrets, toxicity
+from inkframe.llm import bpe, langid, minhash, packing, pii, quality, secrets, suffixes, toxicity
 from inkframe.llm.common import crc_mod, table
 
 
@@ -30,6 +30,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_packing": op2_packing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
         "op7_minhash": op7_minhash,
