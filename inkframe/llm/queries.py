@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm import bpe, langid, minhash, packing, pii, quality, secrets, suffixes, toxicity
+from inkframe.llm import ann, bpe, langid, minhash, packing, pii, quality, secrets, suffixes, toxicity
 from inkframe.llm.common import crc_mod, table
 
 
@@ -50,6 +50,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("score"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
+        "op6_ann": op6_ann,
         "op7_minhash": op7_minhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_language_id": op9_language_id,
