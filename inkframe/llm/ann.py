@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from inkframe.llm.common import bounded_sample, small_batches, staged
 
-BLOCK = 4096
+BLOCK = 1024
 
 
 @dataclass
@@ -116,94 +116,116 @@ def open_leaves(trees: list[Tree], counts: list[np.ndarray], q: np.ndarray, sear
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part."""
-    wide = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    """vec_id and embedding of the rows that take part."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return wide.where("vec_id is not null and embedding is not null").where(~bad & F.exists("embedding", lambda x: x != 0))
+    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
+    return rows.where(~bad & F.exists("embedding", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 12, leaf: int = 256, search_rows: int = 6000, sample_rows: int = 20_000) -> DataFrame:
-    """For each row whose vec_id `every` divides: query_id, rank, vec_id, score of its `k` nearest found."""
+def search(
+    vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 10, leaf: int = 256, share: float = 0.7, least: int = 8000, sample_rows: int = 20_000
+) -> DataFrame:
+    """For each row whose vec_id `every` divides: query_id, rank, vec_id, score of its `k` nearest found.
+
+    A query opens leaves until they hold `share` of the number of rows (over all trees, so rows may count more than once),
+    `least` at any rate. What it finds in the sample bounds its k-th product from below, so blocks send on no less than that.
+    """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors)
     total = rows.count()
-    sample = [r[0] for r in bounded_sample(rows, sample_rows, "vec_id", "embedding").select("embedding").collect()]
+    sample = bounded_sample(rows, sample_rows, "vec_id", "embedding").collect()
     if not sample:
         return spark.createDataFrame([], schema)
-    sizes = [len(x) for x in sample]
+    sizes = [len(x) for _, x in sample]
     width = max(set(sizes), key=sizes.count)
     rows = rows.where(F.size("embedding") == width)
-    top = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    picked = _matrix([x for x in sample if len(x) == width], width)
-    lift = lambda x: np.c_[x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]
-    share = max(total / len(sample), 1)
-    forest = [grow(lift(picked), max(2, int(leaf / share)), seed) for seed in range(trees)]
-    shared = spark.sparkContext.broadcast(forest)  # at most trees x sample_rows planes
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    top = rows.agg(F.max(squares)).first()[0]
+    picked = _matrix([x for _, x in sample if len(x) == width], width)
+    names = np.array([i for i, x in sample if len(x) == width], np.int64)
 
-    def place(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def lift(x: np.ndarray) -> np.ndarray:
+        return np.c_[x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]
+
+    forest = [grow(lift(picked), max(2, int(leaf / max(total / len(sample), 1))), seed) for seed in range(trees)]
+    shared = spark.sparkContext.broadcast((forest, picked, names))  # the sample, and at most trees x sample_rows planes
 
+    def place(frames: Iterator) -> Iterator:
         for frame in frames:
             x = lift(_matrix(frame["embedding"].tolist(), width))
-            at = np.stack([route(t, x) for t in shared.value], 1)
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "leaves": list(at.astype(np.int32))})
+            at = np.stack([route(t, x) for t in shared.value[0]], 1)
+            yield frame.assign(leaves=list(at.astype(np.int32)))
 
-    routed = rows.mapInPandas(place, "vec_id long, leaves array<int>")
-    placed = staged(routed.select("vec_id", F.posexplode("leaves").alias("tree", "leaf")), "leaves")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    placed = staged(rows.mapInPandas(place, f"vec_id long, embedding {kind}, leaves array<int>"), "leaves")
     held = [np.zeros(t.leaves, np.int64) for t in forest]
-    for r in placed.groupBy("tree", "leaf").count().collect():  # one row for each leaf of the forest
+    leaves = placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count()
+    for r in leaves.collect():  # one row for each leaf of the forest
         held[r[0]][r[1]] = r[2]
     counts = spark.sparkContext.broadcast(held)
+    wanted = max(least, int(share * total))
 
     def probe(frames: Iterator) -> Iterator:
         import pandas as pd
 
+        trees_, known, known_ids = shared.value
         for frame in frames:
-            x = _matrix(frame["embedding"].tolist(), width)
-            out = []
-            for q, v in zip(frame["vec_id"], x, strict=True):
-                out += [(q, i, j) for i, j in open_leaves(shared.value, counts.value, np.r_[v, 0.0], search_rows)]
-            yield pd.DataFrame(out, columns=["query_id", "tree", "leaf"])
-
-    probes = rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(probe, "query_id long, tree int, leaf int")
+            for a in range(0, len(frame), 256):
+                part = frame.iloc[a : a + 256]
+                x = _matrix(part["embedding"].tolist(), width)
+                near = np.where(known_ids == part["vec_id"].to_numpy()[:, None], -np.inf, x @ known.T)
+                bound = np.partition(near, -k, axis=1)[:, -k] if len(known) >= k else np.full(len(x), -np.inf)
+                found = [open_leaves(trees_, counts.value, np.r_[v, 0.0], wanted) for v in x]
+                yield pd.DataFrame(
+                    {
+                        "query_id": part["vec_id"].to_numpy(),
+                        "embedding": part["embedding"].to_numpy(),
+                        "bound": bound - 1e-9 * np.maximum(1, np.abs(bound)),
+                        "tree": [[i for i, _ in f] for f in found],
+                        "leaf": [[j for _, j in f] for f in found],
+                    }
+                )
+
+    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding")
+    probes = queries.mapInPandas(probe, f"query_id long, embedding {kind}, bound double, tree array<int>, leaf array<int>")
+    probes = probes.select("query_id", "embedding", "bound", F.explode(F.arrays_zip("tree", "leaf")).alias("x")).select("query_id", "embedding", "bound", "x.*")
     # a leaf's rows are dealt over blocks by their ids; its queries visit each block
-    blocks = placed.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    member = placed.join(blocks, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    member = member.join(rows, "vec_id").select("tree", "leaf", "block", "vec_id", "embedding")
-    asker = probes.join(blocks, ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asker = asker.join(rows.withColumnRenamed("vec_id", "query_id"), "query_id").select("tree", "leaf", "block", "query_id", "embedding")
+    sizes_of = [(i, j, -(-int(n) // BLOCK)) for i, c in enumerate(held) for j, n in enumerate(c.tolist()) if n]
+    blocks = spark.createDataFrame(sizes_of, "tree int, leaf int, blocks int")
+    member = placed.select("vec_id", "embedding", F.posexplode("leaves").alias("tree", "leaf")).join(F.broadcast(blocks), ["tree", "leaf"])
+    member = member.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    asker = probes.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def rerank(askers: "pd.DataFrame", members: "pd.DataFrame") -> "pd.DataFrame":
+    def rerank(askers, members):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        if not len(askers) or not len(members):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         m = _matrix(members["embedding"].tolist(), width)
         ids = members["vec_id"].to_numpy()
-        out = []
-        for a in range(0, len(askers), 512):
+        for a in range(0, len(askers) if len(m) else 0, 512):
             part = askers.iloc[a : a + 512]
-            products = _matrix(part["embedding"].tolist(), width) @ m.T
-            for q, p in zip(part["query_id"].tolist(), products, strict=True):
-                p = np.where(ids == q, -np.inf, p)
-                near = np.nonzero(p >= np.partition(p, -k)[-k])[0] if len(p) > k else np.arange(len(p))
-                near = near[np.lexsort((ids[near], -p[near]))][:k]
-                out.append((np.full(len(near), q), ids[near], p[near]))
+            q, bound = part["query_id"].to_numpy(), part["bound"].to_numpy()
+            p = _matrix(part["embedding"].tolist(), width) @ m.T
+            hit = (p >= bound[:, None]) & (ids != q[:, None])
+            for i in np.nonzero(hit.sum(1) > k)[0].tolist():
+                at = np.nonzero(hit[i])[0]
+                hit[i, at[np.lexsort((ids[at], -p[i, at]))][k:]] = False
+            i, j = np.nonzero(hit)
+            out.append((q[i], ids[j], p[i, j]))
         q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        ok = v != q
-        return pd.DataFrame({"query_id": q[ok], "vec_id": v[ok], "score": s[ok]})
-
-    import pandas as pd  # noqa: F401  (named in rerank's annotations)
+        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
-    near = asker.groupBy("tree", "leaf", "block").cogroup(member.groupBy("tree", "leaf", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    by = ["tree", "leaf", "block"]
+    asker, member = asker.select(*by, "query_id", "embedding", "bound"), member.select(*by, "vec_id", "embedding")
+    near = asker.groupBy(*by).cogroup(member.groupBy(*by)).applyInPandas(rerank, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id")
     # the measure itself, added up in one order whatever block a pair was met in
     a = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
     exact = best.join(a, "query_id").join(rows.withColumnRenamed("embedding", "b"), "vec_id")
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = exact.select("query_id", "vec_id", dot.alias("score")).dropDuplicates(["query_id", "vec_id"])
     return exact.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
