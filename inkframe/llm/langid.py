@@ -17,10 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import batches, bounded_sample, keyed, mix64, small_batches, unkeyed
+from inkframe.llm.common import batches, bounded_sample, mix64, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = 4
@@ -93,8 +94,6 @@ def fit(labelled: DataFrame, sample_rows: int = 4000, smoothing: float = 0.5, us
     rows = bounded_sample(rows, sample_rows, "lang", "text")
 
     def count(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         total: dict[str, np.ndarray] = {}
         for part in batches(frames):
             for lang, texts in part.groupby("lang", sort=False)["text"]:
@@ -212,8 +211,8 @@ class Scorer:
         return np.fromiter((i for ws in texts for i in map(get, ws)), np.int64, sum(map(len, texts)))
 
 
-def identify(docs: DataFrame, model: Model, switch: float = 6.0) -> DataFrame:
-    """Per document: doc_id, lang_pred, score (the share of letters in spans of that language) and spans.
+def labelled(docs: DataFrame, model: Model, column: str, switch: float = 6.0) -> DataFrame:
+    """docs with one more column: a struct of lang_pred, score (the share of letters in spans of that language) and spans.
 
     spans: language, first word and end word (exclusive) of each run of one language, words split at white space.
     """
@@ -221,35 +220,44 @@ def identify(docs: DataFrame, model: Model, switch: float = 6.0) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets
     scorers: list[Scorer] = []
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
         names = np.array([*shared.value.languages, "und"], dtype=object)
         if not scorers:
             scorers.append(Scorer(shared.value))
         scorer, n = scorers[0], len(names) - 1
-        for part in batches(frames):
-            texts = [t.split() for t in part["text"]]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            if n:
-                at = scorer.look_up(texts)
-                labels = best_paths(scorer.scores[at], sizes, switch)
-                letters = scorer.letters[at]
-            else:
-                labels = letters = np.zeros(int(sizes.sum()), np.int64)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            wide = max(n, 1)
-            share = np.bincount(owner * wide + labels, letters, len(texts) * wide).reshape(len(texts), wide)
-            total = share.sum(1)
-            pred = np.where(total > 0, share.argmax(1), n)
-            score = np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0)
-            turn = np.nonzero(np.r_[True, (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])])[0] if len(owner) else np.empty(0, np.int64)
-            begin = np.cumsum(sizes) - sizes
-            runs: list[list] = [[] for _ in texts]
-            for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(owner)], strict=False):
-                i = int(owner[a])
-                if total[i] > 0:
-                    runs[i].append({"lang": names[labels[a]], "first": a - int(begin[i]), "end": b - int(begin[i])})
-            yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": names[pred], "score": score, "spans": runs})
-
-    return unkeyed(keyed(docs).mapInPandas(run, "doc_id string, lang_pred string, score double, spans array<struct<lang:string,first:int,end:int>>"))
+        texts = [t.split() for t in frame["text"]]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if n:
+            at = scorer.look_up(texts)
+            labels = best_paths(scorer.scores[at], sizes, switch)
+            letters = scorer.letters[at]
+        else:
+            labels = letters = np.zeros(int(sizes.sum()), np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        wide = max(n, 1)
+        share = np.bincount(owner * wide + labels, letters, len(texts) * wide).reshape(len(texts), wide)
+        total = share.sum(1)
+        pred = np.where(total > 0, share.argmax(1), n)
+        score = np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0)
+        turn = np.nonzero(np.r_[True, (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])])[0] if len(owner) else np.empty(0, np.int64)
+        begin = np.cumsum(sizes) - sizes
+        runs: list[list] = [[] for _ in texts]
+        for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(owner)], strict=False):
+            i = int(owner[a])
+            if total[i] > 0:
+                runs[i].append({"lang": names[labels[a]], "first": a - int(begin[i]), "end": b - int(begin[i])})
+        return pd.DataFrame({"lang_pred": names[pred], "score": score, "spans": runs})
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in texts:
+            parts = [label(p) for p in batches([pd.DataFrame({"text": series.fillna("")})])]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "spans": []})
+
+    kind = "lang_pred string, score double, spans array<struct<lang:string,first:int,end:int>>"
+    # not deterministic for the optimiser only: a filter on the result must not run it twice
+    return docs.withColumn(column, F.pandas_udf(run, kind).asNondeterministic()(F.col("text")))
+
+
+def identify(docs: DataFrame, model: Model, switch: float = 6.0) -> DataFrame:
+    """Per document: doc_id, lang_pred, score and spans."""
+    return labelled(docs.select("doc_id", "text"), model, "_found", switch).select("doc_id", "_found.*")

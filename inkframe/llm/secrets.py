@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,8 +209,6 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, most_windows: int = 4000) ->
     rows = keyed(bounded_sample(docs.select("doc_id", "text"), sample_rows, "doc_id", "text"))
 
     def label(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for part in batches(frames):
             out = []
             for text in part["text"]:
@@ -275,8 +274,6 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)  # SPACE x 3 weights
 
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for part in batches(frames):
             rows = []
             for text in part["text"]:
@@ -303,20 +300,17 @@ def redact(docs: DataFrame, field: Field, mask: str = "[SECRET]") -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    def run(frames: Iterator) -> Iterator:
-        for frame in frames:
-            texts = []
-            for text in frame["text"]:
-                if text:
-                    base = base_spans(text)
-                    both = sorted((v, e) for _, _, e, v in base + field_spans(shared.value, text, base))
-                    out, at = [], 0
-                    for a, b in both:
-                        if b > at:
-                            out += [text[at : max(a, at)], mask if a >= at else ""]
-                            at = b
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
-            yield frame.assign(text=texts)
-
-    return docs.mapInPandas(run, docs.schema)
+    def masked(text: str) -> str:
+        base = base_spans(text)
+        both = sorted((v, e) for _, _, e, v in base + field_spans(shared.value, text, base))
+        out, at = [], 0
+        for a, b in both:
+            if b > at:
+                out += [text[at : max(a, at)], mask if a >= at else ""]
+                at = b
+        return "".join([*out, text[at:]])
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: masked(t) if t else t)
+
+    return docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text")))

@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,8 +158,6 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _occurrences(docs: DataFrame, whole: bool) -> DataFrame:
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for part in batches(frames, 1_000_000):
             who, begin, n, anchor, content = blocks([t.encode() for t in part["text"]])
             out = {"anchor": anchor, "content": content}
@@ -175,8 +174,6 @@ def _meet(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Each document with its marks: finished, or, where blocks are open, with their bytes and its text."""
 
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for part in batches(frames, 1_000_000):
             rows = []
             for doc, th, text, asks in zip(part["doc_id"], part["th"], part["text"], part["asks"], strict=True):
@@ -190,14 +187,14 @@ def _meet(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         open_ |= x["single"]
                         ctx.append({"anchor": x["anchor"], "at": x["at"], "single": x["single"], "crowd": x["crowd"], "bytes": data[a : a + n + LENGTH - 1]})
                 n_bytes, gone, spans, sha, _ = _finished(data, np.array(marks, np.int64))
-                rows.append((doc, th, text if open_ else None, marks if open_ else None, n_bytes, gone, spans, sha, ctx))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "text", "marks", "n_bytes", "n_removed", "n_spans", "kept_sha256", "contexts"])
+                rows.append((doc, th, text if open_ else None, marks, n_bytes, gone, spans, sha, ctx))
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "text", "settled", "n_bytes", "n_removed", "n_spans", "kept_sha256", "contexts"])
 
     a, b = _rows(docs).withColumn("doc_id", F.col("doc_id").cast("long")).alias("a"), wanted.alias("b")
     met = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.th = b.th"), "left")
     met = met.select(F.col("a.doc_id").cast("string").alias("doc_id"), "a.th", "a.text", "b.asks")
     schema = (
-        "doc_id string, th long, text string, marks array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+        "doc_id string, th long, text string, settled array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "contexts array<struct<anchor:long,at:long,single:boolean,crowd:int,bytes:binary>>"
     )
     return met.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -207,9 +204,7 @@ def _indexed(contexts: DataFrame) -> DataFrame:
     """Runs of repeated starts of the single blocks, from indexes over whole anchors."""
 
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        def settle(frame: "pd.DataFrame") -> "pd.DataFrame":
+        def settle(frame: pd.DataFrame) -> pd.DataFrame:
             out = []
             found = repeated_starts(frame["bytes"].tolist())
             for doc, th, at, single, flags in zip(frame["doc_id"], frame["th"], frame["at"], frame["single"], found, strict=True):
@@ -242,8 +237,6 @@ def _counted(contexts: DataFrame) -> DataFrame:
     """Repeated starts of the single blocks of crowded anchors, from counts of string hashes."""
 
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for frame in frames:
             rows = []
             for doc, th, anchor, at, single, data in zip(*(frame[c] for c in ("doc_id", "th", "anchor", "at", "single", "bytes")), strict=True):
@@ -287,8 +280,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
         for part in batches(frames):
             rows = []
             for doc, text, marks, extra in zip(part["doc_id"], part["text"], part["marks"], part["more"], strict=True):
@@ -302,7 +293,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def _late(met: DataFrame, more: DataFrame) -> DataFrame:
     """Open documents with all their marks."""
-    a = met.where("text is not null").select("doc_id", "th", "text", "marks").alias("a")
+    a = met.where("text is not null").select("doc_id", "th", "text", F.col("settled").alias("marks")).alias("a")
     b = more.groupBy("doc_id", "th").agg(F.collect_list("at").alias("more")).alias("b")
     joined = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.th = b.th"), "left")
     return joined.select(F.col("a.doc_id").cast("string").alias("doc_id"), "a.text", "a.marks", "b.more")
+
+
+def trim_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated bytes removed; what is left of a character cut in two goes too. Null texts stay null."""
+    met, more = find_repeats(docs)
+    late = more.groupBy("doc_id", "th").agg(F.collect_list("at").alias("more"))
+    found = met.where("n_removed > 0 or text is not null").select("doc_id", "th", "settled").distinct().alias("b")
+    a = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).alias("a")
+    joined = a.join(found, F.expr("a.doc_id <=> b.doc_id and a._th = b.th"), "left").join(late.alias("c"), F.expr("a.doc_id <=> c.doc_id and a._th = c.th"), "left")
+
+    def run(texts: pd.Series, marks: pd.Series, extra: pd.Series) -> pd.Series:
+        out = []
+        for text, m, x in zip(texts, marks, extra, strict=True):
+            every = np.concatenate([np.asarray([] if v is None else v, np.int64) for v in (m, x)])
+            out.append(_finished(text.encode(), every)[4].decode("utf-8", "ignore") if text and len(every) else text)
+        return pd.Series(out, dtype=object)
+
+    trimmed = F.pandas_udf(run, "string")(F.col("a.text"), F.col("b.settled"), F.col("c.more"))
+    return joined.select(*(trimmed.alias("text") if c == "text" else F.col(f"a.{c}") for c in docs.columns))
