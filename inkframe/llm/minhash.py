@@ -31,7 +31,7 @@ from inkframe.llm.common import batches, components, keyed, mix64, small_batches
 WORDS = 5
 BANDS, ROWS = 40, 4
 CIRCLE = 1 << 16
-STARS = 3
+STARS = 2
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -155,20 +155,13 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInPandas(run, "doc_id string, set array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, parts: tuple[int, int]) -> DataFrame:
-    """Those pairs (u, v) whose full sets are similar enough.
-
-    Sets are made again for the documents in pairs only, one document of each class.
-    """
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id")
-    sets = staged(sets_of(texts).join(classes, "doc_id").where("n_shingles = size(set)").dropDuplicates(["doc_id"]).select("doc_id", "set"), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """Those pairs (u, v) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(
         sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v"
     )
-    shared = F.size(F.array_intersect("a", "b"))
-    union = F.size("a") + F.size("b") - F.col("n")
-    return both.withColumn("n", shared).where(F.col("n") * parts[1] >= union * parts[0]).select("u", "v")
+    both = both.withColumn("n", F.size(F.array_intersect("a", "b")))
+    return both.where(F.col("n") * parts[1] >= (F.size("a") + F.size("b") - F.col("n")) * parts[0]).select("u", "v")
 
 
 def link(docs: DataFrame, similarity: tuple[int, int] = (75, 100)) -> tuple[DataFrame, DataFrame]:
@@ -177,37 +170,48 @@ def link(docs: DataFrame, similarity: tuple[int, int] = (75, 100)) -> tuple[Data
     own = ["fa", "fb", "n_shingles"]
     heads = made.where("doc_id is not null and n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"))
     classed = made.select("doc_id", *own).join(heads, own, "left")
-    classes = heads.select(F.col("rep").alias("doc_id"), "n_shingles")
     firsts = made.join(heads, own).where("doc_id = rep")
-    buckets = firsts.select(F.explode("buckets").alias("key"), F.col("rep").alias("id")).distinct()
+    buckets = firsts.select(F.explode("buckets").alias("key"), F.col("rep").alias("id"), "n_shingles").distinct()
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     members = staged(buckets.join(shared, "key"), "buckets")
-
-    edges = None
-    tried = None
-    comps = None
+    # full sets, once, of the classes that share a bucket
+    classes = members.select(F.col("id").alias("doc_id"), "n_shingles").distinct()
+    texts = docs.select("doc_id", "text").join(classes.select("doc_id"), "doc_id")
+    sets = sets_of(texts).join(classes, "doc_id").where("n_shingles = size(set)").select("doc_id", "set")
+    sets = staged(sets, "sets")
+    members = members.drop("n_shingles")
+
+    comps = tried = None
     for step in range(STARS):
-        lead = F.min_by("id", F.when(F.lit(step == 0), F.col("id")).otherwise(F.xxhash64(F.lit(step), "id", "key")))
-        leaders = members.groupBy("key").agg(lead.alias("v"))
-        pairs = members.join(leaders, "key").where("id <> v")
+        lead = F.min_by("id", F.xxhash64(F.lit(step), "id", "key")) if step else F.min("id")
+        pairs = members.join(members.groupBy("key").agg(lead.alias("v")), "key").where("id <> v")
         if comps is not None:
             pairs = _with_components(_with_components(pairs, comps, "id", "cu"), comps, "v", "cv").where("cu <> cv")
-        pairs = pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tried = pairs if tried is None else staged(tried.unionByName(pairs), "tried")
-        good = staged(verified(pairs, docs, classes, similarity), "links")
-        edges = good if edges is None else edges.unionByName(good)
-        comps = staged(components(edges), "components")
+        comps, tried = _settle(pairs.withColumnRenamed("id", "u"), tried, comps, sets, similarity)
         members = _mixed(members, comps)
         if members.isEmpty():
             return classed, comps
     side = _with_components(members, comps, "id", "c")
     pairs = side.select("key", F.col("id").alias("u"), F.col("c").alias("cu")).join(side.select("key", F.col("id").alias("v"), F.col("c").alias("cv")), "key").where("u > v and cu <> cv")
-    pairs = staged(pairs.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-    edges = edges.unionByName(staged(verified(pairs, docs, classes, similarity), "links"))
-    return classed, staged(components(edges), "components")
+    return classed, _settle(pairs, tried, comps, sets, similarity)[0]
+
+
+def _settle(pairs: DataFrame, tried: DataFrame | None, comps: DataFrame | None, sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Verify new pairs and join what they link to the components so far: (components, pairs tried so far)."""
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["u", "v"], "left_anti")
+    pairs = staged(pairs, "pairs")
+    good = verified(pairs, sets, similarity)
+    if comps is None:
+        return staged(components(good), "components"), pairs
+    # the new links are few, and between components: only these are joined anew
+    between = _with_components(_with_components(good, comps, "u", "cu"), comps, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    new = staged(components(between), "components")
+    moved = comps.select("node", F.col("comp").alias("_c")).join(new.select(F.col("node").alias("_c"), F.col("comp").alias("_to")), "_c", "left")
+    moved = moved.select("node", F.coalesce("_to", "_c").alias("comp"))
+    fresh = new.join(comps.select("node"), "node", "left_anti")
+    return staged(moved.unionByName(fresh), "components"), tried.unionByName(pairs)
 
 
 def _with_components(df: DataFrame, comps: DataFrame, column: str, name: str) -> DataFrame:
