@@ -159,13 +159,21 @@ def decode(field: Field, ids: np.ndarray, can: np.ndarray, live: np.ndarray) ->
     return np.where(live, tags, 0)
 
 
-def _learn(data: list[tuple[list[list[int]], list[bool], list[int]]], rounds: int = 30, rate: float = 0.3, decay: float = 1e-4) -> Field:
-    """Maximum likelihood by gradient steps on batches: forward and backward sums over the whole batch at once."""
+def _learn(data: list[tuple[list[list[int]], list[bool], list[int]]], rounds: int = 30, rate: float = 0.3, decay: float = 1e-4, seen_in: int = 3) -> Field:
+    """Maximum likelihood by gradient steps on batches: forward and backward sums over the whole batch at once.
+
+    Features of fewer than `seen_in` windows get no weight: labels are the base expressions' finds, and what these miss
+    must not be learnt by heart as no secret.
+    """
     deep = len(data[0][0][0])
     field = Field(np.zeros((SPACE, 3)), np.zeros((3, 3)))
     seen = np.full((SPACE, 3), 1e-2)
     rng = np.random.default_rng(7)
     order = sorted(range(len(data)), key=lambda i: len(data[i][0]))
+    often = np.zeros(SPACE, np.int64)
+    for f, _, _ in data:
+        often[np.unique(np.array(f))] += 1
+    rare = often < seen_in
     parts = [order[k : k + 128] for k in range(0, len(order), 128)]
     parts = [(*_pad([data[i][:2] for i in p]), [data[i][2] for i in p]) for p in parts]
     for _ in range(rounds):
@@ -196,6 +204,7 @@ def _learn(data: list[tuple[list[list[int]], list[bool], list[int]]], rounds: in
             diff = (np.eye(3)[gold] - p)[live]
             flat = ids[live].ravel()
             grad = np.stack([np.bincount(flat, np.repeat(diff[:, j], deep), SPACE) for j in range(3)], 1) / n
+            grad[rare] = 0
             grad -= decay * field.emit
             seen += grad * grad
             field.emit += rate * grad / np.sqrt(seen)
