@@ -71,6 +71,15 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return who, begin, starts, h[at[first]].view(np.int64), content.view(np.int64)
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of keys, from 0."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+    return rank
+
+
 def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each context: whether the string of `length` bytes at each start is found at any other start of any context."""
     sizes = np.array([len(c) + 1 for c in contexts], np.int64)
@@ -81,16 +90,15 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndar
     wide = np.zeros(n + 4, np.int64)
     wide[:n] = symbol + 1
     base = kinds + 258
-    _, rank = np.unique(((wide[:n] * base + wide[1 : n + 1]) * base + wide[2 : n + 2]) * base + wide[3 : n + 3], return_inverse=True)
+    key = wide[:n]
+    for k in range(1, 4):
+        key = key * base + wide[k : n + k]
+    rank = _ranks(key)
     levels, span = [(4, rank)], 4
     while rank.max() < n - 1:
         after = np.zeros(n, np.int64)
         after[: n - span] = rank[span:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+        rank = _ranks(rank * (n + 1) + after)
         span *= 2
         levels.append((span, rank))
     suffix = np.empty(n, np.int64)
@@ -237,14 +245,17 @@ def _counted(contexts: DataFrame) -> DataFrame:
     """Repeated starts of the single blocks of crowded anchors, from counts of string hashes."""
 
     def run(frames: Iterator) -> Iterator:
-        for frame in frames:
-            rows = []
-            for doc, th, anchor, at, single, data in zip(*(frame[c] for c in ("doc_id", "th", "anchor", "at", "single", "bytes")), strict=True):
-                a = at // 256
-                for k in range(len(data) - LENGTH + 1):
-                    x = xxhash.xxh3_128_intdigest(data[k : k + LENGTH])
-                    rows.append((doc, th, (a + k) * 256 + 1, single, anchor, (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "at", "single", "anchor", "ga", "gb"])
+        digest = xxhash.xxh3_128_digest
+        for whole in frames:
+            for a in range(0, len(whole), 256):
+                frame = whole.iloc[a : a + 256].reset_index(drop=True)
+                n = (frame["bytes"].str.len() - LENGTH + 1).to_numpy().astype(np.int64)
+                made = b"".join(digest(view[k : k + LENGTH]) for view, m in zip(map(memoryview, frame["bytes"]), n.tolist(), strict=True) for k in range(m))
+                pair = np.frombuffer(made, np.int64).reshape(-1, 2)
+                row = np.repeat(np.arange(len(frame)), n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                out = frame[["doc_id", "th", "single", "anchor"]].iloc[row].reset_index(drop=True)
+                yield out.assign(at=(frame["at"].to_numpy()[row] // 256 + step) * 256 + 1, ga=pair[:, 0], gb=pair[:, 1])[["doc_id", "th", "at", "single", "anchor", "ga", "gb"]]
 
     ready = contexts.select(F.col("doc_id").cast("string").alias("doc_id"), "th", "anchor", "at", "single", "bytes")
     grams = ready.mapInPandas(run, "doc_id string, th long, at long, single boolean, anchor long, ga long, gb long")
