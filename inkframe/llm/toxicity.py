@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import batches, bounded_sample, crc_mod, keyed, small_batches, unkeyed
+from inkframe.llm.common import batches, bounded_sample, crc_mod, keyed, small_batches, staged, unkeyed
 
 SPACE = 1 << 22
 STEM = 5
@@ -63,6 +63,16 @@ def features(word: str) -> tuple[int, ...]:
     return (feature(word),) if len(word) <= STEM else (feature(word), feature(word[:STEM] + "*"))
 
 
+def _document_features(text: str, swapped: bool = False) -> list[int] | None:
+    """Distinct features of a text; of its twin, if `swapped`, and None where no term is there to swap."""
+    words = {x for w in set(text.split()) if (x := plain(w))}
+    if swapped:
+        if words.isdisjoint(SWAP):
+            return None
+        words = {SWAP.get(w, w) for w in words}
+    return sorted({f for w in words for f in features(w)})
+
+
 @dataclass
 class Model:
     """The features' weights and the bias; bias None: nothing learnt."""
@@ -72,51 +82,61 @@ class Model:
     bias: float | None
 
 
-def fit(labelled: DataFrame, sample_rows: int = 16_000, least_rows: int = 5, chi_square: float = 11.0, most: int = 512, ridge: float = 0.03, counterfactual: float = 50.0) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = 10_000, least_rows: int = 5, chi_square: float = 11.0, most: int = 512, ridge: float = 0.03, counterfactual: float = 50.0) -> Model:
     """Fit from rows with text and toxic (0 or 1); about `sample_rows` of them, chosen by hash, if there are more."""
     small_batches(labelled.sparkSession)
     rows = bounded_sample(labelled.where("toxic is not null").select("toxic", F.coalesce("text", F.lit("")).alias("text")), sample_rows, "toxic", "text")
 
+    def tally(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for part in batches(frames):
+            every: list[int] = []
+            bad: list[int] = []
+            for t, y in zip(part["text"], part["toxic"], strict=True):
+                f = _document_features(t)
+                every += f
+                bad += f if y > 0 else []
+            at, df = np.unique(np.array(every, np.int64), return_counts=True)
+            tf = np.bincount(np.searchsorted(at, np.array(bad, np.int64)), minlength=len(at))
+            yield pd.DataFrame({"feature": np.r_[at, -1], "df": np.r_[df, len(part)], "tf": np.r_[tf, int((part["toxic"] > 0).sum())]})
+
+    counts = rows.mapInPandas(tally, "feature long, df long, tf long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    counts = staged(counts, "features")
+    whole = counts.where("feature = -1").first()
+    if whole is None or not 0 < whole["tf"] < whole["df"]:
+        return Model(np.empty(0, np.int64), np.empty(0), None)
+    n, pos = whole["df"], whole["tf"]
+    want = F.col("df") * (pos / n)
+    chi = (F.col("tf") - want) ** 2 / (want * (1 - pos / n) * (1 - F.col("df") / n))
+    best = counts.where((F.col("feature") >= 0) & (F.col("df") >= least_rows) & (F.col("df") < n) & (F.col("tf") > want))
+    best = best.withColumn("chi", chi).where(F.col("chi") >= chi_square).orderBy(F.desc("chi"), "feature").limit(most)
+    chosen = np.array(sorted(r["feature"] for r in best.collect()), np.int64)
+    twins = [feature(SWAP[w]) for w in SWAP if not {*features(w)}.isdisjoint(chosen.tolist())]
+    chosen = np.unique(np.r_[chosen, twins].astype(np.int64))
+    place = {f: i for i, f in enumerate(chosen.tolist())}
+
     def extract(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for part in batches(frames):
-            has, twin = [], []
-            for t in part["text"]:
-                ws = {x for w in set(t.split()) if (x := plain(w))}
-                has.append(sorted({f for w in ws for f in features(w)}))
-                twin.append(sorted({f for w in ws for f in features(SWAP.get(w, w))}) if not ws.isdisjoint(SWAP) else None)
+            has = [[place[f] for f in _document_features(t) if f in place] for t in part["text"]]
+            twin = [None if (f := _document_features(t, True)) is None else [place[x] for x in f if x in place] for t in part["text"]]
             yield pd.DataFrame({"toxic": part["toxic"].astype("int32"), "has": has, "twin": twin})
 
     got = rows.mapInPandas(extract, "toxic int, has array<int>, twin array<int>").toPandas()
-    y = (got["toxic"].to_numpy() > 0).astype(float) if len(got) else np.empty(0)
-    n, pos = len(y), y.sum()
-    if not 0 < pos < n:
-        return Model(np.empty(0, np.int64), np.empty(0), None)
-    size = got["has"].str.len().to_numpy()
-    row, flat = np.repeat(np.arange(n), size), np.concatenate([np.asarray(x, np.int64) for x in got["has"]])
-    known, at = np.unique(flat, return_inverse=True)
-    df, tf = np.bincount(at), np.bincount(at, y[row])
-    want = df * pos / n
-    chi = (tf - want) ** 2 / np.maximum(want * (1 - pos / n) * (1 - df / n), 1e-9)
-    chi[(df < least_rows) | (tf <= want)] = 0
-    best = np.argsort(-chi, kind="stable")[:most]
-    chosen = known[best[chi[best] >= chi_square]]
-    twins = [feature(SWAP[w]) for w in SWAP if not {*features(w)}.isdisjoint(chosen.tolist())]
-    chosen = np.unique(np.r_[chosen, twins].astype(np.int64))
+    y = (got["toxic"].to_numpy() > 0).astype(float)
 
     def matrix(lists: list) -> np.ndarray:
         out = np.zeros((len(lists), len(chosen) + 1))
         out[:, -1] = 1
         for i, x in enumerate(lists):
-            k = np.searchsorted(chosen, x)
-            k = k[(k < len(chosen)) & (chosen[np.minimum(k, len(chosen) - 1)] == x)] if len(chosen) else k[:0]
-            out[i, k] = 1
+            out[i, np.asarray(x, np.int64)] = 1
         return out
 
-    x = matrix([np.asarray(v, np.int64) for v in got["has"]])
+    x = matrix(list(got["has"]))
     pairs = [i for i, v in enumerate(got["twin"]) if v is not None]
-    change = x[pairs] - matrix([np.asarray(got["twin"][i], np.int64) for i in pairs]) if pairs else np.zeros((0, x.shape[1]))
+    change = x[pairs] - matrix([got["twin"][i] for i in pairs])
     penalty = np.eye(x.shape[1]) * ridge
     penalty[-1, -1] = 1e-6
     penalty += counterfactual * change.T @ change
@@ -158,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return unkeyed(keyed(docs).mapInPandas(run, "doc_id string, score double"))
 
 
-def label_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, folds: int = 5) -> DataFrame:
+def label_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, folds: int = 5) -> DataFrame:
     """Fit on labelled rows outside the held-out fold and score every document."""
     seen = labels.where(F.col("toxic").isNotNull() & (crc_mod("doc_id", folds) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen = bounded_sample(seen, sample_rows, "doc_id")
