@@ -31,6 +31,8 @@ from inkframe.llm.common import batches, mix64, small_batches, staged
 
 LENGTH, GRAM = 200, 32
 CROWD = 64
+#: Starts of one piece of a crowded block.
+PIECE = 16
 #: Bytes of one index, about.
 INDEXED = 300_000
 _POSITION = np.uint64((1 << 24) - 1)
@@ -241,27 +243,61 @@ def _indexed(contexts: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _anchor_at(data: bytes, anchor: int) -> int:
+    """Where the window whose hash is the anchor stands first."""
+    h, step, n = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), _ODD, 1
+    while n < GRAM:
+        h = h[:-n] * step + h[n:]
+        step, n = step * step, n * 2
+    return int(np.argmax(mix64(h).view(np.int64) == anchor))
+
+
 def _counted(contexts: DataFrame) -> DataFrame:
-    """Repeated starts of the single blocks of crowded anchors, from counts of string hashes."""
+    """Repeated starts of the single blocks of crowded anchors, from counts of hashes.
 
-    def run(frames: Iterator) -> Iterator:
+    Blocks are cut into pieces of `PIECE` starts, aligned to their anchor, so equal stretches of many variants are one kind
+    of piece. Kinds seen twice are repeated throughout; of the others, each string is counted, once for each kind.
+    """
+    kind = ["anchor", "g", "ga", "gb"]
+
+    def cut(frames: Iterator) -> Iterator:
+        for frame in frames:
+            rows = []
+            for doc, th, anchor, at, single, data in zip(*(frame[c] for c in ("doc_id", "th", "anchor", "at", "single", "bytes")), strict=True):
+                start, n = divmod(at, 256)
+                shift = -_anchor_at(data, anchor) % PIECE
+                edges = sorted({0, n, *range((PIECE - shift) % PIECE, n, PIECE)})
+                for x, y in zip(edges, edges[1:], strict=False):
+                    piece = data[x : y + LENGTH - 1]
+                    ga, gb = np.frombuffer(xxhash.xxh3_128_digest(piece), np.int64).tolist()
+                    rows.append((doc, th, (start + x) * 256 + y - x, single, anchor, y - x, ga, gb, piece))
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "at", "single", *kind, "piece"])
+
+    def strings(frames: Iterator) -> Iterator:
         digest = xxhash.xxh3_128_digest
         for whole in frames:
-            for a in range(0, len(whole), 256):
-                frame = whole.iloc[a : a + 256].reset_index(drop=True)
-                n = (frame["bytes"].str.len() - LENGTH + 1).to_numpy().astype(np.int64)
-                made = b"".join(digest(view[k : k + LENGTH]) for view, m in zip(map(memoryview, frame["bytes"]), n.tolist(), strict=True) for k in range(m))
+            for a in range(0, len(whole), 512):
+                frame = whole.iloc[a : a + 512].reset_index(drop=True)
+                n = (frame["piece"].str.len() - LENGTH + 1).to_numpy().astype(np.int64)
+                made = b"".join(digest(view[k : k + LENGTH]) for view, m in zip(map(memoryview, frame["piece"]), n.tolist(), strict=True) for k in range(m))
                 pair = np.frombuffer(made, np.int64).reshape(-1, 2)
                 row = np.repeat(np.arange(len(frame)), n)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                out = frame[["doc_id", "th", "single", "anchor"]].iloc[row].reset_index(drop=True)
-                yield out.assign(at=(frame["at"].to_numpy()[row] // 256 + step) * 256 + 1, ga=pair[:, 0], gb=pair[:, 1])[["doc_id", "th", "at", "single", "anchor", "ga", "gb"]]
+                out = frame[[*kind, "c"]].iloc[row].reset_index(drop=True)
+                yield out.assign(k=step.astype(np.int32), xa=pair[:, 0], xb=pair[:, 1])
 
     ready = contexts.select(F.col("doc_id").cast("string").alias("doc_id"), "th", "anchor", "at", "single", "bytes")
-    grams = ready.mapInPandas(run, "doc_id string, th long, at long, single boolean, anchor long, ga long, gb long")
-    twice = grams.groupBy("ga", "gb", "anchor").count().where("count > 1").drop("count")
-    out = grams.where("single").join(twice, ["ga", "gb", "anchor"]).select("doc_id", "th", "at")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    pieces = ready.mapInPandas(cut, "doc_id string, th long, at long, single boolean, anchor long, g int, ga long, gb long, piece binary")
+    pieces = staged(pieces.withColumn("doc_id", F.col("doc_id").cast("long")), "pieces")
+    kinds = staged(pieces.groupBy(*kind).agg(F.count("*").alias("c"), F.min("piece").alias("piece")), "piece-kinds")
+    grams = kinds.mapInPandas(strings, "anchor long, g int, ga long, gb long, c long, k int, xa long, xb long")
+    twice = grams.groupBy("anchor", "xa", "xb").agg(F.sum("c").alias("n")).where("n > 1").drop("n")
+    some = grams.where("c = 1").join(twice, ["anchor", "xa", "xb"]).groupBy(*kind).agg(F.collect_set("k").alias("ks"))
+    single = pieces.where("single").drop("piece")
+    whole = single.join(kinds.where("c > 1").select(*kind), kind).select("doc_id", "th", "at")
+    parts = single.join(some, kind).select("doc_id", "th", F.col("at"), F.explode("ks").alias("k"))
+    parts = parts.select("doc_id", "th", ((F.floor(F.col("at") / 256) + F.col("k")) * 256 + 1).alias("at"))
+    return whole.unionByName(parts)
 
 
 def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
