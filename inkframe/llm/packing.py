@@ -15,6 +15,7 @@ an empty table gives no pieces; ids may be null or repeat.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from inkframe.llm.common import batches, keyed, small_batches, staged, unkeyed
 
 CAPACITY = 2048
 #: Words kept in a worker's memory; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 200_000
 
@@ -41,17 +42,33 @@ class Words:
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, fresh: list[str]) -> None:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for k in range(0, len(fresh), 10_000):
+            part = fresh[k : k + 10_000]
+            self.known.update(zip(part, [array("I", e.ids).tobytes() for e in encode(part, add_special_tokens=False)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, 4 bytes little-endian each."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = sorted({w for ws in cut for w in ws}.difference(self.known))
-        for k in range(0, len(fresh), 10_000):
-            part = fresh[k : k + 10_000]
-            ids = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in ids), strict=True))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
+        fresh = {w for ws in cut for w in ws}.difference(self.known)
+        # plain letters have their lower case's ids, and a full stop or comma after letters is a word of its own
+        simple, rest = [], []
+        for w in fresh:
+            if w.isascii() and w.isalpha():
+                simple.append((w, w.lower(), ""))
+            elif w[-1:] in (".", ",") and w.isascii() and w[:-1].isalpha():
+                simple.append((w, w[:-1].lower(), w[-1]))
+            else:
+                rest.append(w)
+        stems = {s for _, s, _ in simple}.union({m for _, _, m in simple}, rest)
+        self._learn(list(stems.difference(self.known)))
+        known = self.known
+        for w, s, m in simple:
+            known[w] = known[s] + known[m]
+        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
 
 _WORDS: dict[str, Words] = {}
