@@ -25,7 +25,7 @@ from inkframe.llm.common import batches, keyed, small_batches, unkeyed
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = np.int64(1 << 40)
 #: Words kept in a worker's memory; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -226,38 +226,59 @@ class Codec:
     def __init__(self, path: str):
         self.tables = Tables(path)
         self.words = regex.compile(PATTERN)
-        self.odd = regex.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.tables.special)) + ")") if self.tables.special else None
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word."""
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, 4 bytes little-endian each."""
         t = self.tables
         ids, n = propose(t, words)
         stop = np.cumsum(n)
-        out = np.split(ids, stop[:-1]) if len(words) else []
+        flat, ends = ids.astype("<u4").tobytes(), (stop * 4).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         if len(ids) < 2:
             return out
         inner = np.ones(len(ids) - 1, bool)
         inner[stop[(stop > 0) & (stop < len(ids))] - 1] = False
-        pair = ids[:-1] * t.size + ids[1:]
-        distinct, at = np.unique(pair[inner], return_inverse=True)
+        pair = (ids[:-1] * t.size + ids[1:])[inner]
+        distinct, at = np.unique(pair, return_inverse=True)
         good = compatible(t, distinct // t.size, distinct % t.size)
         owner = np.repeat(np.arange(len(words)), n)[:-1][inner]
-        failed = np.unique(owner[~good[at]])
-        for i, exact in zip(failed.tolist(), merge_words(t, [words[i] for i in failed]), strict=True):
-            out[i] = exact
+        failed = np.unique(owner[~good[at]]).tolist()
+        for i, exact in zip(failed, merge_words(t, [words[i] for i in failed]), strict=True):
+            out[i] = exact.astype("<u4").tobytes()
         return out
 
+    def _cut(self, piece: str, lead: str) -> list[str]:
+        if piece.isalpha():
+            return [lead + piece]
+        if piece[:-1].isalpha() and piece[-1] in ".,":
+            return [lead + piece[:-1], piece[-1]]
+        return self.words.findall(lead + piece)
+
     def _learn(self, memory: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        fresh = [p for p in pieces if p not in memory]
+        fresh = list(pieces.difference(memory))
         if not fresh:
             return
-        cut = [self.words.findall(lead + p) for p in fresh]
-        words = sorted({w for ws in cut for w in ws})
-        ids = dict(zip(words, (x.astype("<u4").tobytes() for x in self.encode_words([w.encode() for w in words])), strict=True))
-        memory.update(zip(fresh, (b"".join(map(ids.__getitem__, ws)) for ws in cut), strict=True))
+        cut = [self._cut(p, lead) for p in fresh]
+        words = list({w for ws in cut for w in ws})
+        ids = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
+        get = ids.__getitem__
+        memory.update(zip(fresh, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in cut], strict=True))
+
+    @staticmethod
+    def _simple(part: str) -> bool:
+        """Whether all white space in a text is single spaces and line ends between other characters."""
+        return not (
+            part[0] in " \n"
+            or part[-1] in " \n"
+            or "  " in part
+            or " \n" in part
+            or "\n " in part
+            or "\n\n" in part
+            or not part.replace("\n", "").isprintable()
+        )
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, as uint32 arrays."""
@@ -273,7 +294,7 @@ class Codec:
             for part in parts:
                 if part in self.tables.special:
                     plan.append(self.tables.special[part])
-                elif self.odd.search(part):
+                elif part and not self._simple(part):
                     plan.append((None, ws := self.words.findall(part)))
                     plain.update(ws)
                 elif part:
