@@ -26,7 +26,7 @@ from inkframe.llm.common import batches, keyed, small_batches, staged, unkeyed
 
 CAPACITY = 2048
 #: Words kept in a worker's memory; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 200_000
 
@@ -53,7 +53,7 @@ class Words:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = {w for ws in cut for w in ws}.difference(self.known)
+        fresh = set().union(*cut).difference(self.known)
         # plain letters have their lower case's ids, and a full stop or comma after letters is a word of its own
         simple, rest = [], []
         for w in fresh:
