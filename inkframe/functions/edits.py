@@ -50,29 +50,53 @@ def soft_match(a: Column, b: Column) -> Column:
     return F.when(n > 0, 1 - F.levenshtein(a, b) / n).otherwise(1.0)
 
 
+def distance(a: str, b: str) -> int:
+    """The edit distance of two texts, a row of the table as bits of whole numbers."""
+    if not a or not b:
+        return len(a) + len(b)
+    at, total = 1 << len(a) - 1, len(a)
+    for _, up in _bit_rows(a, b):
+        total += up[0] & at > 0
+        total -= up[1] & at > 0
+    return total
+
+
+def _bit_rows(predicted: str, reference: str) -> Iterator[tuple[int, tuple[int, int]]]:
+    """Rows of the table by characters of the reference, a bit for each character of the prediction.
+
+    Where a row is equal to the one before it on the diagonal, and where it is more and less than the one above.
+    """
+    full = (1 << len(predicted)) - 1
+    spots: dict[str, int] = {}
+    for j, c in enumerate(predicted):
+        spots[c] = spots.get(c, 0) | 1 << j
+    more, less = full, 0
+    for c in reference:
+        x = spots.get(c, 0) | less
+        same = ((more + (x & more)) ^ more | x) & full
+        up, down = (less | ~(more | same)) & full, more & same
+        yield same, (up, down)
+        x = (up << 1 | 1) & full
+        more, less = ((down << 1) | ~(x | same)) & full, x & same
+
+
 def steps(predicted: str, reference: str) -> list[tuple[str, str, str]]:
     """The alignment of two texts, back from their ends: (match, sub, del or ins; reference; predicted character).
 
     Of equal costs a substitution comes before a deletion, and that before an insertion.
     """
     n, m = len(reference), len(predicted)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    table[:, 0], table[0] = np.arange(n + 1), np.arange(m + 1)
-    codes = np.array([ord(c) for c in predicted], np.int64)
-    column = np.arange(m + 1)
-    for i, c in enumerate(reference, 1):
-        best = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (codes != ord(c)))
-        row = np.r_[i, best] - column
-        table[i] = np.minimum.accumulate(row) + column
+    rows = list(_bit_rows(predicted, reference))
     out, i, j = [], n, m
     while i or j:
+        same, (up, _) = rows[i - 1] if i else (0, (0, 0))
         if i and j and reference[i - 1] == predicted[j - 1]:
             out.append(("match", reference[i - 1], predicted[j - 1]))
             i, j = i - 1, j - 1
-        elif i and j and table[i, j] == table[i - 1, j - 1] + 1:
+        elif i and j and not same >> j - 1 & 1:
             out.append(("sub", reference[i - 1], predicted[j - 1]))
             i, j = i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
+        elif i and (not j or up >> j - 1 & 1):
             out.append(("del", reference[i - 1], ""))
             i -= 1
         else:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,29 +56,20 @@ def assign_lines(predictions: DataFrame, references: DataFrame, page: str) -> Da
     line_cer and line_wer are means in which every line without a partner counts 1; a page with one side empty has 1.
     """
 
-    def cost(a: str, b: str) -> int:
-        if not a or not b:
-            return len(a) + len(b)
-        table, codes, column = np.arange(len(a) + 1), np.array([ord(c) for c in a]), np.arange(len(a) + 1)
-        for i, c in enumerate(b, 1):
-            best = np.minimum(table[1:] + 1, table[:-1] + (codes != ord(c)))
-            table = np.minimum.accumulate(np.r_[i, best] - column) + column
-        return int(table[-1])
-
     def rate(d: int, n: int, m: int) -> float:
         return d / n if n else float(m > 0)
 
     def fold(key: tuple, preds: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        p = [" ".join((t or "").split()) for t in preds.sort_values("line_no")["text"]]
-        r = [" ".join((t or "").split()) for t in refs.sort_values("line_no")["text"]]
-        costs = np.array([[rate(cost(a, b), len(b), len(a)) for b in r] for a in p]).reshape(len(p), len(r))
+        # a side without lines may come without columns
+        p, r = ([" ".join((t or "").split()) for t in side.sort_values("line_no")["text"]] if len(side) else [] for side in (preds, refs))
+        costs = np.array([[rate(E.distance(a, b), len(b), len(a)) for b in r] for a in p]).reshape(len(p), len(r))
         pairs = E.assign(costs)
         alone = len(p) + len(r) - 2 * len(pairs)
         words = 0.0
         for i, j in pairs:
             known = {w: chr(0x4E00 + k) for k, w in enumerate(dict.fromkeys(p[i].split() + r[j].split()))}
             a, b = ("".join(map(known.__getitem__, t.split())) for t in (p[i], r[j]))
-            words += rate(cost(a, b), len(b), len(a))
+            words += rate(E.distance(a, b), len(b), len(a))
         total = max(1, len(pairs) + alone)
         none = not p or not r
         return pd.DataFrame(
@@ -85,22 +79,37 @@ def assign_lines(predictions: DataFrame, references: DataFrame, page: str) -> Da
 
     kind = predictions.schema[page].dataType.simpleString()
     schema = f"`{page}` {kind}, matched int, unmatched_predictions int, unmatched_references int, line_cer double, line_wer double"
+    # new columns: where both sides come from one table, a count would drop those of one side that look the same
+    references = references.select(*(F.col(c).alias(c, metadata={"side": "reference"}) for c in (page, "line_no", "text")))
     return predictions.groupBy(page).cogroup(references.groupBy(page)).applyInPandas(fold, schema)
 
 
+def _operations(pairs: DataFrame, predicted: str, reference: str) -> DataFrame:
+    """How often each step is in the alignments of all pairs: op, ref, pred, n. Counted where they are made, as whole texts have many."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            seen: Counter = Counter()
+            for p, r in zip(frame["p"], frame["r"], strict=True):
+                seen.update(E.steps(p, r))
+            yield pd.DataFrame([(*x, n) for x, n in seen.items()], columns=["op", "ref", "pred", "n"])
+
+    texts = pairs.select(F.coalesce(F.col(predicted), F.lit("")).alias("p"), F.coalesce(F.col(reference), F.lit("")).alias("r"))
+    return texts.mapInPandas(run, "op string, ref string, pred string, n long")
+
+
 def confusions(pairs: DataFrame, predicted: str, reference: str) -> DataFrame:
     """How often each reference character was read as another: gt, pred, n."""
-    ops = pairs.select(F.explode(E.aligned(F.col(predicted), F.col(reference))).alias("x")).select("x.*")
-    return ops.where("op = 'sub'").groupBy(F.col("ref").alias("gt"), "pred").agg(F.count("*").alias("n"))
+    ops = _operations(pairs, predicted, reference)
+    return ops.where("op = 'sub'").groupBy(F.col("ref").alias("gt"), "pred").agg(F.sum("n").alias("n"))
 
 
 def diacritic_errors(pairs: DataFrame, predicted: str, reference: str) -> DataFrame:
     """Error rates of reference characters with and without diacritics: has_diacritic, total, wrong, rate."""
-    ops = pairs.select(F.explode(E.aligned(F.col(predicted), F.col(reference))).alias("x")).select("x.*").where("ref <> ''")
+    ops = _operations(pairs, predicted, reference).where("ref <> ''")
     marked = F.col("ref").rlike("^[À-ỹ]$") & F.col("ref").rlike(r"^\p{L}$")
-    return ops.groupBy(marked.alias("has_diacritic")).agg(
-        F.count("*").alias("total"), F.count_if(F.col("op") != "match").alias("wrong"), F.avg((F.col("op") != "match").cast("double")).alias("rate")
-    )
+    total, wrong = F.sum("n"), F.sum(F.when(F.col("op") != "match", F.col("n")).otherwise(0))
+    return ops.groupBy(marked.alias("has_diacritic")).agg(total.alias("total"), wrong.alias("wrong"), (wrong / total).alias("rate"))
 
 
 def confusion_matrix(counts: DataFrame, top: int) -> DataFrame:

@@ -169,12 +169,17 @@ _ERRORS = (
 )
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    turns = table(spark, sf_dir, "conversations").withColumn("pred", F.substring(after, 1, 60)).withColumn("ref", F.substring("text", 1, 60))
+    turns = table(spark, sf_dir, "conversations").withColumn("pred", after).withColumn("ref", F.col("text"))
     return turns.where("pred is not null").select("conv_id", "turn", "role", "ref", "pred")
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs as the SQL has them: the first 60 characters of both sides."""
+    return _whole_pairs(spark, sf_dir).withColumns({c: F.substring(c, 1, 60) for c in ("ref", "pred")})
+
+
 @query(f"WITH {_ERRORS} SELECT conv_id, turn, char_edits::BIGINT AS char_edits, word_edits::BIGINT AS word_edits, round(cer, 6)::DOUBLE AS cer, round(wer, 6)::DOUBLE AS wer FROM errors")
 def cer_wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = evaluation.pair_errors(_pairs(spark, sf_dir), "pred", "ref")
@@ -223,17 +228,17 @@ def exact_match_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def char_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.confusions(_pairs(spark, sf_dir), "pred", "ref")
+    return evaluation.confusions(_whole_pairs(spark, sf_dir), "pred", "ref")
 
 
 @query()
 def diacritic_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.diacritic_errors(_pairs(spark, sf_dir), "pred", "ref")
+    return evaluation.diacritic_errors(_whole_pairs(spark, sf_dir), "pred", "ref")
 
 
 @query()
 def line_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", F.col("turn").alias("line_no"), F.substring("text", 1, 60).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", F.col("turn").alias("line_no"), "text")
     return evaluation.assign_lines(turns.where("role = 'assistant'").drop("role"), turns.where("role = 'user'").drop("role"), "conv_id")
 
 
