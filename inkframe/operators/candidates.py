@@ -44,7 +44,7 @@ def ngrams(texts: DataFrame, text: str, order: int) -> DataFrame:
     words = F.concat(F.array(F.lit("<s>")), F.array_remove(F.split(F.lower(F.trim(text)), r"(?U)\s+"), ""), F.array(F.lit("</s>")))
     rows = texts.select(words.alias("w")).where(F.size("w") >= max(order, 3))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - order + 1), lambda i: F.array_join(F.slice("w", i, order), " "))
-    return rows.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return rows.select(F.explode_outer(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def language_model(texts: DataFrame, text: str, order: int = 3, backoff: float = 0.4) -> DataFrame:
@@ -67,9 +67,13 @@ def language_model(texts: DataFrame, text: str, order: int = 3, backoff: float =
 def score_texts(texts: DataFrame, key: str, text: str, model: DataFrame, order: int = 3, backoff: float = 0.4, unknown: float = -7.0) -> DataFrame:
     """lm_logprob of each text: for each word the longest gram in the model, less the backoffs to it. All by equi-joins."""
     words = F.concat(F.array(F.lit("<s>")), F.array_remove(F.split(F.lower(F.trim(text)), r"(?U)\s+"), ""), F.array(F.lit("</s>")))
-    spots = texts.select(key, words.alias("w")).select(key, "w", F.explode(F.sequence(F.lit(2), F.size("w"))).alias("i"))
-    tries = spots.select(key, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.col("i")))).alias("k"), "w")
-    tries = tries.select(key, "i", "k", F.array_join(F.slice("w", F.col("i") - F.col("k") + 1, F.col("k")), " ").alias("gram"), F.least(F.lit(order), F.col("i")).alias("_most"))
+    # grams are made before they are exploded: a row of each must not carry the words of a whole text
+    most = lambda i: F.least(F.lit(order), i)
+    gram = lambda w, i, k: F.array_join(F.slice(w, i - k + 1, k), " ")
+    made = lambda w, i: F.transform(F.sequence(F.lit(1), most(i)), lambda k: F.struct(i.alias("i"), k.alias("k"), gram(w, i, k).alias("gram"), most(i).alias("_most")))
+    spots = texts.select(key, words.alias("w")).select(key, F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: made(F.col("w"), i)).alias("x"))
+    # never empty; a plain explode has the planner test for that with the words split anew for every gram
+    tries = spots.select(key, F.explode_outer("x").alias("x")).select(key, F.explode_outer("x").alias("x")).select(key, "x.*")
     found = tries.join(model.select("gram", "logprob"), "gram", "left")
     cost = F.log10(F.lit(backoff))
     best = found.groupBy(key, "i").agg(

@@ -583,12 +583,12 @@ def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rescored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    model = candidates.language_model(b, "text")
-    both = b.select("item_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.reverse("text").alias("text")), F.struct(F.lit(1).alias("pos"), F.col("text").alias("text")))).alias("c")).select("item_id", "c.*")
-    keyed = both.withColumn("key", F.col("item_id") * 2 + F.col("pos"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model = candidates.language_model(d, "text")
+    both = d.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.reverse("text").alias("text")), F.struct(F.lit(1).alias("pos"), F.col("text").alias("text")))).alias("c")).select("doc_id", "c.*")
+    keyed = both.withColumn("key", F.col("doc_id") * 2 + F.col("pos"))
     scored = keyed.join(candidates.score_texts(keyed, "key", "text", model), "key").withColumn("acoustic_logprob", F.lit(-1.0))
-    return candidates.rescore(candidates.pool(scored, "item_id"), "item_id")
+    return candidates.rescore(candidates.pool(scored, "doc_id"), "doc_id")
 
 
 _SPELL = """lex AS (SELECT term, count(*) AS freq FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS term FROM benchmark) WHERE term <> '' GROUP BY term),

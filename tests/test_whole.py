@@ -1,5 +1,8 @@
 """Queries without SQL work on whole texts: brute force on small tables."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -41,3 +44,30 @@ def test_line_assignment_past_the_head(spark, turns):
     got = {r["conv_id"]: (r["matched"], r["unmatched_references"], round(r["line_cer"], 9)) for r in q.line_assignment(spark, turns).collect()}
     n = len(HEAD)
     assert got == {1: (1, 0, round(1 / (n + 8), 9)), 2: (1, 0, round(3 / (n + 3), 9)), 3: (0, 1, 1.0)}
+
+
+def brute_rescored(texts):
+    marked = lambda t: ["<s>", *t.lower().split(), "</s>"]
+    lines = [w for w in map(marked, texts.values()) if len(w) >= 3]
+    n = {k: Counter(tuple(w[i : i + k]) for w in lines for i in range(len(w) - k + 1)) for k in (1, 2, 3)}
+    total = sum(n[1].values())
+    p = {g: math.log10(c / (n[k - 1][g[:-1]] if k > 1 else total)) for k in n for g, c in n[k].items()}
+
+    def score(t):
+        w, lm = marked(t), 0.0
+        for i in range(2, len(w) + 1):
+            most = min(3, i)
+            k = next((k for k in range(most, 0, -1) if tuple(w[i - k : i]) in p), 0)
+            lm += p[tuple(w[i - k : i])] + (most - k) * math.log10(0.4) if k else -7.0
+        words = len(t.split())
+        return -1.0 + 0.5 * lm / max(1, words) + 0.1 * words
+
+    return {d: max((round(score(x), 9), -pos) for pos, x in enumerate((t[::-1], t))) for d, t in texts.items()}
+
+
+def test_rescoring_reads_documents(spark, tmp_path):
+    texts = {1: "the cat sat on the mat", 2: "the cat ran off", 3: "", 4: "one of the cats " * 50, 5: "Aba"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (round(r["score"], 9), -r["pos"]) for r in q.rescored_lines(spark, str(tmp_path)).collect()}
+    want = brute_rescored(texts)
+    assert set(got) == set(want) and all(got[d] == pytest.approx(want[d], abs=1e-8) for d in want)
