@@ -32,7 +32,7 @@ EXPRESSIONS = {
 #: Words with a digit or an at sign: what a pattern may extract.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}+)"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DIGITS = "regexp_replace(x.v, '[^0-9]', '')"
 _LUHN = (
     "aggregate(sequence(1, char_length(d)), 0, (a, i) -> a + if(i % 2 = 1, int(substr(d, -i, 1)), "

@@ -340,3 +340,11 @@ def test_bpe(docs, empty):
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_sql(spark, data, name):
     assert parity.differences(q.queries()[name](spark, data).toPandas(), parity.oracle(data, q.oracle_sql()[name])) == []
+
+
+def test_pii_zero_parts(spark):
+    """Parts that are or begin with zero, against int(part) <= 255."""
+    parts = ["0", "00", "000", "0000", "01", "007", "010", "0255", "0256", "256", "255", "100", "0100", "99", "300", "1000"]
+    ips = [f"{a}.{b}.0.1" for a in parts for b in parts] + ["10.0.0.1", "192.168.0.1", "255.255.255.0", "0.0.0.0", "8.8.8.256"]
+    found = pii.digest(pii.scan(spark.createDataFrame([(i, f"at {x} now") for i, x in enumerate(ips)], "doc_id long, text string")))
+    assert {r["doc_id"]: r["n_ip"] for r in found.collect()} == {i: int(all(int(p) <= 255 for p in x.split("."))) for i, x in enumerate(ips)}
