@@ -128,7 +128,8 @@ def search(
     """For each row whose vec_id `every` divides: query_id, rank, vec_id, score of its `k` nearest found.
 
     A query opens leaves until they hold `share` of the number of rows (over all trees, so rows may count more than once),
-    `least` at any rate. What it finds in the sample bounds its k-th product from below, so blocks send on no less than that.
+    `least` at any rate. What it finds in the sample bounds its k-th product from below, so blocks send on no less than that;
+    the sample's own best are candidates too, so a query gets `k` rows wherever there are as many others.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
@@ -150,7 +151,8 @@ def search(
         return np.c_[x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]
 
     forest = [grow(lift(picked), max(2, int(leaf / max(total / len(sample), 1))), seed) for seed in range(trees)]
-    shared = spark.sparkContext.broadcast((forest, picked, names))  # the sample, and at most trees x sample_rows planes
+    once = np.unique(names, return_index=True)[1]  # an id that repeats must not count twice in a bound
+    shared = spark.sparkContext.broadcast((forest, picked[once], names[once]))  # the sample, and at most trees x sample_rows planes
 
     def place(frames: Iterator) -> Iterator:
         for frame in frames:
@@ -167,16 +169,34 @@ def search(
     counts = spark.sparkContext.broadcast(held)
     wanted = max(least, int(share * total))
 
+    def sampled(part, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        """Products with the sample, the query itself left out, and the k-th of them."""
+        _, known, known_ids = shared.value
+        near = np.where(known_ids == part["vec_id"].to_numpy()[:, None], -np.inf, x @ known.T)
+        return near, np.partition(near, -k, axis=1)[:, -k] if len(known) >= k else np.full(len(x), -np.inf)
+
+    def first(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        known_ids = shared.value[2]
+        for frame in frames:
+            for a in range(0, len(frame), 256):
+                part = frame.iloc[a : a + 256]
+                near, bound = sampled(part, _matrix(part["embedding"].tolist(), width))
+                for query, s, b in zip(part["vec_id"].tolist(), near, bound, strict=True):
+                    at = np.nonzero((s >= b) & np.isfinite(s))[0]
+                    at = at[np.lexsort((known_ids[at], -s[at]))][:k]
+                    yield pd.DataFrame({"query_id": np.full(len(at), query), "vec_id": known_ids[at], "score": s[at]})
+
     def probe(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        trees_, known, known_ids = shared.value
+        trees_ = shared.value[0]
         for frame in frames:
             for a in range(0, len(frame), 256):
                 part = frame.iloc[a : a + 256]
                 x = _matrix(part["embedding"].tolist(), width)
-                near = np.where(known_ids == part["vec_id"].to_numpy()[:, None], -np.inf, x @ known.T)
-                bound = np.partition(near, -k, axis=1)[:, -k] if len(known) >= k else np.full(len(x), -np.inf)
+                _, bound = sampled(part, x)
                 found = [open_leaves(trees_, counts.value, np.r_[v, 0.0], wanted) for v in x]
                 yield pd.DataFrame(
                     {
@@ -220,6 +240,7 @@ def search(
     by = ["tree", "leaf", "block"]
     asker, member = asker.select(*by, "query_id", "embedding", "bound"), member.select(*by, "vec_id", "embedding")
     near = asker.groupBy(*by).cogroup(member.groupBy(*by)).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    near = near.unionByName(queries.mapInPandas(first, "query_id long, vec_id long, score double"))
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id")

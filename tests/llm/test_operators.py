@@ -348,3 +348,17 @@ def test_pii_zero_parts(spark):
     ips = [f"{a}.{b}.0.1" for a in parts for b in parts] + ["10.0.0.1", "192.168.0.1", "255.255.255.0", "0.0.0.0", "8.8.8.256"]
     found = pii.digest(pii.scan(spark.createDataFrame([(i, f"at {x} now") for i, x in enumerate(ips)], "doc_id long, text string")))
     assert {r["doc_id"]: r["n_ip"] for r in found.collect()} == {i: int(all(int(p) <= 255 for p in x.split("."))) for i, x in enumerate(ips)}
+
+
+def test_ann_gives_every_rank(spark):
+    """Some thousand rows, not all leaves opened: the sample's bound must not leave gaps."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(5000, 48)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(vectors, every=100, least=2000, share=0.1).toPandas()
+    assert got.groupby("query_id")["rank"].apply(lambda s: sorted(s) == list(range(1, 21))).all() and got["query_id"].nunique() == 50
+    d = x.astype(float)
+    for query, part in got.groupby("query_id"):
+        s = d @ d[query]
+        s[query] = -np.inf
+        assert set(part["vec_id"]) == set(np.argsort(-s)[:20].tolist())
