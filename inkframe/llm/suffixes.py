@@ -40,7 +40,32 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Blocks of all texts: text index, first start, number of starts, anchor hash, hash of the block's bytes."""
+    """Blocks of all texts: text index, first start, number of starts, anchor hash, hash of the block's bytes.
+
+    Positions are packed beside hashes, so more bytes than the field holds are taken in slices. Slices of a long text share
+    `LENGTH` - 1 bytes and no start; an anchor depends on its string only, so a slice's end may part a block, no more.
+    """
+    most = int(_POSITION) + 1
+    if sum(map(len, texts)) <= most:
+        return _packed_blocks(texts)
+    step = most - LENGTH + 1
+    cuts = [(i, k, t[k : k + most]) for i, t in enumerate(texts) for k in range(0, max(1, len(t) - LENGTH + 1), step)]
+    group = [0]
+    for _, _, piece in cuts:
+        group.append(group[-1] + len(piece))
+    out, a = [], 0
+    while a < len(cuts):
+        b = a + 1
+        while b < len(cuts) and group[b + 1] - group[a] <= most:
+            b += 1
+        who, begin, *rest = _packed_blocks([x for _, _, x in cuts[a:b]])
+        out.append((np.array([i for i, _, _ in cuts[a:b]], np.int64)[who], begin + np.array([k for _, k, _ in cuts[a:b]], np.int64)[who], *rest))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _packed_blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Blocks of texts of no more bytes than positions fit in their field."""
     data = b"".join(texts)
     size = np.array([len(t) for t in texts], np.int64)
     end = np.cumsum(size)

@@ -362,3 +362,20 @@ def test_ann_gives_every_rank(spark):
         s = d @ d[query]
         s[query] = -np.inf
         assert set(part["vec_id"]) == set(np.argsort(-s)[:20].tolist())
+
+
+def test_suffix_positions_past_their_field(monkeypatch):
+    """A text longer than the field of positions, made small: each start has the anchor of its own string, and blocks cover all starts."""
+    monkeypatch.setattr(suffixes, "_POSITION", np.uint64((1 << 10) - 1))
+    passage = " ".join(words(120)).encode()
+    texts = [" ".join(words(900)).encode() + passage + b" end", b"short", passage, b"", b"x" * 3000]
+    who, begin, n, anchor, _ = suffixes.blocks(texts)
+    got = {}
+    for w, a, k, x in zip(who.tolist(), begin.tolist(), n.tolist(), anchor.tolist(), strict=True):
+        for j in range(a, a + k):
+            assert (w, j) not in got
+            got[w, j] = x
+    starts = [(i, j) for i, t in enumerate(texts) for j in range(len(t) - suffixes.LENGTH + 1)]
+    assert sorted(got) == starts
+    for i, j in starts[::7]:
+        assert got[i, j] == suffixes._packed_blocks([texts[i][j : j + suffixes.LENGTH]])[3][0]
