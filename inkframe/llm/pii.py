@@ -75,10 +75,11 @@ def find_base(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "h", *(F.expr(_before(k)).alias(k) for k in (*KINDS, "cand")))
 
 
-def bootstrap(base: DataFrame, rounds: int = 2, min_support: int = 5, min_pattern: float = 0.8, min_instance: float = 0.9) -> DataFrame:
+def bootstrap(base: DataFrame, min_support: int = 5, min_pattern: float = 0.8, min_instance: float = 0.9) -> DataFrame:
     """Spans that confident contexts add: doc_id, h, k (index of the kind), s, e.
 
-    `min_support` distinct known instances and a share of `min_pattern` known ones make a pattern confident.
+    `min_support` distinct known instances and a share of `min_pattern` known ones make a pattern confident. Both are asked
+    of what is known in each round, and rounds go on until nothing is added and no score grows.
     """
     spots = F.concat(*(F.expr(f"transform({k}, x -> named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v, 'c', x.c))") for i, k in enumerate((*KINDS, "cand"))))
     seen = base.select("doc_id", "h", F.explode(spots).alias("x"), *KINDS).select("doc_id", "h", "x.*", *KINDS)
@@ -91,19 +92,27 @@ def bootstrap(base: DataFrame, rounds: int = 2, min_support: int = 5, min_patter
     # the graph: distinct pattern-instance links; seeds are known with their kind
     links = seen.groupBy("c", "v").agg(F.min(F.when(F.col("k") < len(KINDS), F.col("k"))).alias("seed"))
     known = links.where("seed is not null").groupBy("v").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0))
-    per_pattern = links.groupBy("c").agg(F.count("*").alias("n"), F.count("seed").alias("hits")).where(F.col("hits") >= min_support)
-    graph = links.join(per_pattern.select("c", "n"), "c").select("c", "v", "n")
-    patterns = None
-    for _ in range(rounds):
-        scored = graph.join(known, "v", "left")
+    # a context of fewer instances than `min_support` can't become a pattern in any round
+    sizes = links.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
+    graph = staged(links.join(sizes, "c").select("c", "v", "n"), "pii-graph")
+    known = staged(known, "pii-known")
+
+    def reached() -> tuple:
+        """How many are known, and the sum of their scores: none leaves and no score falls, so rounds come to an end."""
+        n, total = known.agg(F.count("*"), F.sum("score")).first()
+        return n, round(total or 0.0, 6)
+
+    before, now = None, reached()
+    while now != before:
+        scored = graph.join(known, "v")
         patterns = (
-            scored.where("kind is not null")
-            .groupBy("c", "kind", "n")
+            scored.groupBy("c", "kind", "n")
             .agg(F.sum("score").alias("good"), F.count("*").alias("support"))
             .withColumn("conf", F.col("good") / F.col("n"))
             .where((F.col("support") >= min_support) & (F.col("conf") >= min_pattern))
             .select("c", "kind", "conf")
         )
+        patterns = staged(patterns, "pii-patterns")
         found = graph.join(patterns, "c").groupBy("v", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("score"))
         known = (
             known.unionByName(found.where(F.col("score") >= min_instance).select("v", "kind", "score"))
@@ -111,6 +120,7 @@ def bootstrap(base: DataFrame, rounds: int = 2, min_support: int = 5, min_patter
             .agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
         )
         known = staged(known, "pii-known")
+        before, now = now, reached()
     fits = F.when(F.col("kind") == 0, F.col("at") == 1).otherwise((F.col("at") == 0) & (F.regexp_count("v", F.lit("[0-9]")) >= 6))
     return (
         seen.where(F.col("k") == len(KINDS))

@@ -379,3 +379,15 @@ def test_suffix_positions_past_their_field(monkeypatch):
     assert sorted(got) == starts
     for i, j in starts[::7]:
         assert got[i, j] == suffixes._packed_blocks([texts[i][j : j + suffixes.LENGTH]])[3][0]
+
+
+def test_pii_bootstraps_round_by_round(spark):
+    """Contexts without a seed become patterns by what earlier patterns found, over three rounds."""
+    first, second, third = ([f"{k}{i:09d}" for i in range(n)] for k, n in ((4, 47), (6, 5), (8, 1)))
+    texts = [f"call number +1 (555) 01{1000 + i}" for i in range(750)] + [f"call number {x}" for x in first]
+    texts += [f"{c} {x}" for c in ("reach desk", "ring office") for x in first + second] + [f"dial front {x}" for x in second + third]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {texts[r["doc_id"]]: r["spans"] for r in pii.digest(pii.scan(docs)).collect()}
+    assert found["call number " + first[0]] == "phone:12:22"
+    assert found["reach desk " + second[0]] == "phone:11:21"
+    assert found["dial front " + third[0]] == "phone:11:21"
