@@ -4,8 +4,8 @@ The field tags tokens as secret begin (B), inside (I) or outside (O) from shape,
 file. It learns from the base expressions' own finds in a bounded sample of documents (`sample_rows`), without being
 told the expressions, and adds what looks and stands like them elsewhere.
 
-Only tokens that mix digits with letters (or are long) can be B or I; that is a rule of the model, so lines without such a
-token are O throughout and need no decoding. Decoding works on a window of `AROUND` characters on both sides of such
+Only tokens of 12 characters or more with two digits and a letter can be B or I; that is a rule of the model, so lines without
+such a token are O throughout and are not decoded, and shorter secrets or ones of letters only are never added. Decoding works on a window of `AROUND` characters on both sides of such
 tokens, overlapping windows joined, cut at line ends; no text is skipped.
 
 Offsets are in code points, end exclusive. Defined results: a null text counts as empty; empty texts have no spans; where
