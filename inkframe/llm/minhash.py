@@ -7,10 +7,12 @@ Signature: one permutation scatters shingles over a circle of `CIRCLE` places, t
 is the least place seen when the second is turned by k. All coordinates of a shingle are thus one slice of one array.
 `BANDS` bands of `ROWS` coordinates make buckets: a pair with similarity 0.75 shares none with a probability of 3e-7.
 
-Candidates are never all pairs of a bucket. Each bucket links its members to its first class; links are verified on the
-full sets and joined to components; only buckets that still hold several components go on, again from another member,
-and what is left after `STARS` such passes is compared across components, pair by pair. Buckets become one component
-quickly where copies are many, so large groups cost a few links a member.
+Candidates are never all pairs of a bucket at once. Each bucket links its members to one leader; links are verified on the
+full sets and joined to components. The leader has then met everyone and goes, and only members that may still be linked
+with a member of another component stay, so buckets of two and buckets of copies end there. The rest goes on with 16, 256 ...
+leaders, until no bucket is left. "May be linked" is exact: sizes must allow the similarity, and in crowded buckets only
+shingles that another member of such a bucket has can be shared, which leaves nothing to compare for the copies that are
+edited too much to be linked. No pair is dropped by an estimate, and there is no cap.
 
 Shingles are compared as 64-bit hashes: two different ones of a pair of documents agree by chance once in 1e13 pairs or so.
 
@@ -23,15 +25,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import batches, components, keyed, mix64, small_batches, staged
+from inkframe.llm.common import batches, components, keyed, mix64, release, small_batches, staged
 
 WORDS = 5
 BANDS, ROWS = 40, 4
 CIRCLE = 1 << 16
-STARS = 2
+#: From so many members on, a bucket's members are first held against the shingles that they share.
+CROWDED = 8
+#: Each pass has so many times the leaders of the one before.
+MORE = 16
+#: Words of more bytes have a hash of their own: polynomials over a power of two can be made to collide from 1,024 bytes on.
+LONG_WORD = 256
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,6 +81,8 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(flat))
     total = np.r_[np.uint64(0), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up)]
     word = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.nonzero(end - start > LONG_WORD)[0].tolist():
+        word[i] = xxhash.xxh3_64_intdigest(flat[start[i] : end[i]].tobytes())
     owner = np.searchsorted(np.cumsum(size), start, "right")
     count = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(count) - count
@@ -164,54 +174,83 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: tuple[int, int]) -> DataF
     return both.where(F.col("n") * parts[1] >= (F.size("a") + F.size("b") - F.col("n")) * parts[0]).select("u", "v")
 
 
-def link(docs: DataFrame, similarity: tuple[int, int] = (75, 100)) -> tuple[DataFrame, DataFrame]:
-    """(sketches with the representative of each row's class, components of representatives)."""
+def link(docs: DataFrame, similarity: tuple[int, int] = (75, 100)) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, n_shingles and the representative of each row's class; components of representatives, None without any)."""
     made = staged(sketch(docs), "sketch")
     own = ["fa", "fb", "n_shingles"]
     heads = made.where("doc_id is not null and n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"))
-    classed = made.select("doc_id", *own).join(heads, own, "left")
+    classed = staged(made.select("doc_id", *own).join(heads, own, "left").select("doc_id", "n_shingles", "rep"), "classes")
     firsts = made.join(heads, own).where("doc_id = rep")
-    buckets = firsts.select(F.explode("buckets").alias("key"), F.col("rep").alias("id"), "n_shingles").distinct()
+    buckets = firsts.select(F.explode("buckets").alias("key"), F.col("rep").alias("id"), F.col("n_shingles").alias("n")).distinct()
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    members = staged(buckets.join(shared, "key"), "buckets")
-    # full sets, once, of the classes that share a bucket
-    classes = members.select(F.col("id").alias("doc_id"), "n_shingles").distinct()
-    texts = docs.select("doc_id", "text").join(classes.select("doc_id"), "doc_id")
-    sets = sets_of(texts).join(classes, "doc_id").where("n_shingles = size(set)").select("doc_id", "set")
-    sets = staged(sets, "sets")
-    members = members.drop("n_shingles")
-
-    comps = tried = None
-    for step in range(STARS):
-        lead = F.min_by("id", F.xxhash64(F.lit(step), "id", "key")) if step else F.min("id")
-        pairs = members.join(members.groupBy("key").agg(lead.alias("v")), "key").where("id <> v")
-        if comps is not None:
-            pairs = _with_components(_with_components(pairs, comps, "id", "cu"), comps, "v", "cv").where("cu <> cv")
-        comps, tried = _settle(pairs.withColumnRenamed("id", "u"), tried, comps, sets, similarity)
-        members = _mixed(members, comps)
-        if members.isEmpty():
-            return classed, comps
-    side = _with_components(members, comps, "id", "c")
-    pairs = side.select("key", F.col("id").alias("u"), F.col("c").alias("cu")).join(side.select("key", F.col("id").alias("v"), F.col("c").alias("cv")), "key").where("u > v and cu <> cv")
-    return classed, _settle(pairs, tried, comps, sets, similarity)[0]
-
-
-def _settle(pairs: DataFrame, tried: DataFrame | None, comps: DataFrame | None, sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Verify new pairs and join what they link to the components so far: (components, pairs tried so far)."""
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["u", "v"], "left_anti")
-    pairs = staged(pairs, "pairs")
+    members = staged(buckets.join(shared, "key").withColumn("most", F.col("n")), "buckets")
+    release(made)
+    sets = comps = None
+    leaders, step = 1, 0
+    while not members.isEmpty():
+        lead = _leaders(members, leaders)
+        pairs = _pairs(members, lead, comps, similarity)
+        rest = members.join(lead.select("key", F.col("v").alias("id")), ["key", "id"], "left_anti")
+        if sets is None:
+            # full sets, once, of the classes that are compared now or may be later
+            later = rest.join(rest.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "key").select("id")
+            pairs = staged(pairs, "pairs")
+            asked = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).union(later).distinct()
+            sets = staged(_sets_of_classes(docs, asked, classed), "sets")
+        comps, spent = _settle(pairs, comps, sets, similarity), (comps, members, pairs)
+        members = staged(_mixed(rest, comps, similarity), "buckets")
+        release(*spent)
+        if not step:
+            members = _bounded(members, sets, comps, similarity)
+        step, leaders = step + 1, leaders * MORE
+    release(members, sets)
+    return classed, comps
+
+
+def _sets_of_classes(docs: DataFrame, asked: DataFrame, classed: DataFrame) -> DataFrame:
+    classes = classed.where("doc_id = rep").select("doc_id", "n_shingles").distinct().join(asked.withColumnRenamed("id", "doc_id"), "doc_id")
+    texts = docs.select("doc_id", "text").join(classes.select("doc_id").distinct(), "doc_id")
+    return sets_of(texts).join(classes, "doc_id").where("n_shingles = size(set)").select("doc_id", "set")
+
+
+def _leaders(members: DataFrame, count: int) -> DataFrame:
+    """The `count` members of each bucket with the largest share of shingles that any other has; ties to the smaller id."""
+    order = Window.partitionBy("key").orderBy(F.desc(F.col("most") / F.col("n")), "id")
+    best = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= count)
+    return best.select("key", F.col("id").alias("v"), F.col("n").alias("vn"), F.col("most").alias("vmost"))
+
+
+def _possible(a: Column, b: Column, n: Column, m: Column, parts: tuple[int, int]) -> Column:
+    """Whether sets of n and m shingles, of which at most a and b can be shared, can be similar enough."""
+    return F.least(a, b) * (parts[0] + parts[1]) >= (n + m) * parts[0]
+
+
+def _pairs(members: DataFrame, lead: DataFrame, comps: DataFrame | None, similarity: tuple[int, int]) -> DataFrame:
+    """Distinct pairs of a member and a leader of its bucket that may be similar and aren't in one component yet."""
+    apart = F.col("id") != F.col("v")
+    if comps is not None:
+        members, lead = _with_components(members, comps, "id", "cu"), _with_components(lead, comps, "v", "cv")
+        apart = apart & (F.col("cu") != F.col("cv"))
+    a, b = members.alias("a"), lead.alias("b")
+    can = _possible(F.col("most"), F.col("vmost"), F.col("n"), F.col("vn"), similarity)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & can)
+    return pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+
+
+def _settle(pairs: DataFrame, comps: DataFrame | None, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Verify pairs and join what they link to the components so far."""
     good = verified(pairs, sets, similarity)
     if comps is None:
-        return staged(components(good), "components"), pairs
+        return staged(components(good), "components")
     # the new links are few, and between components: only these are joined anew
     between = _with_components(_with_components(good, comps, "u", "cu"), comps, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     new = staged(components(between), "components")
     moved = comps.select("node", F.col("comp").alias("_c")).join(new.select(F.col("node").alias("_c"), F.col("comp").alias("_to")), "_c", "left")
     moved = moved.select("node", F.coalesce("_to", "_c").alias("comp"))
     fresh = new.join(comps.select("node"), "node", "left_anti")
-    return staged(moved.unionByName(fresh), "components"), tried.unionByName(pairs)
+    out = staged(moved.unionByName(fresh), "components")
+    release(new)
+    return out
 
 
 def _with_components(df: DataFrame, comps: DataFrame, column: str, name: str) -> DataFrame:
@@ -219,16 +258,36 @@ def _with_components(df: DataFrame, comps: DataFrame, column: str, name: str) ->
     return df.join(c, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    mixed = _with_components(members, comps, "id", "c").groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
-    return staged(members.join(mixed.select("key"), "key"), "buckets")
+def _mixed(members: DataFrame, comps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Members that may still be linked with a member of their bucket in another component."""
+    side = _with_components(members, comps, "id", "c")
+    facts = side.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.max("most").alias("top"), F.count("*").alias("size"))
+    facts = facts.where("lo <> hi").drop("lo", "hi")
+    can = _possible(F.col("most"), F.col("top"), F.col("n"), F.col("least"), similarity)
+    return members.select("key", "id", "n", "most").join(facts, "key").where(can).select("key", "id", "n", "most", "size")
+
+
+def _bounded(members: DataFrame, sets: DataFrame, comps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Members of crowded buckets with `most` lowered to the number of their shingles that any other of them has.
+
+    What only one of them has is in no intersection, so this drops no link; in a group of edited copies it settles at once
+    the ones too far from all others, which would else be compared with every copy.
+    """
+    crowd = members.where(F.col("size") >= CROWDED).select(F.col("id").alias("doc_id")).distinct()
+    grams = sets.join(crowd, "doc_id").select(F.col("doc_id").alias("id"), F.explode("set").alias("gram"))
+    common = grams.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("gram")
+    held = grams.join(common, "gram").groupBy("id").agg(F.count("*").alias("held"))
+    some = members.join(held, "id", "left")
+    lowered = F.when(F.col("size") >= CROWDED, F.coalesce("held", F.lit(0))).otherwise(F.col("most"))
+    out = staged(_mixed(some.select("key", "id", "n", lowered.alias("most")), comps, similarity), "buckets")
+    release(members)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100)) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable) and kept (the id is the component's)."""
     classed, comps = link(docs, similarity)
-    c = comps.select(F.col("node").alias("rep"), "comp")
+    c = comps.select(F.col("node").alias("rep"), "comp") if comps is not None else classed.select("rep", F.col("rep").alias("comp")).limit(0)
     return classed.join(c, "rep", "left").select(
         "doc_id",
         "n_shingles",
