@@ -69,6 +69,14 @@ def release(*frames: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, or a longer one where a column has it, in whatever case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def bounded_sample(df: DataFrame, rows: int, *keys: str, seed: int = 17) -> DataFrame:
     """About `rows` rows of df, chosen by a hash of the keys; all rows if there are fewer. Narrow: one count, then a filter."""
     n = df.count()

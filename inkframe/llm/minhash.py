@@ -181,9 +181,11 @@ def link(docs: DataFrame, similarity: tuple[int, int] = (75, 100)) -> tuple[Data
     heads = made.where("doc_id is not null and n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"))
     classed = staged(made.select("doc_id", *own).join(heads, own, "left").select("doc_id", "n_shingles", "rep"), "classes")
     firsts = made.join(heads, own).where("doc_id = rep")
-    buckets = firsts.select(F.explode("buckets").alias("key"), F.col("rep").alias("id"), F.col("n_shingles").alias("n")).distinct()
-    shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    members = staged(buckets.join(shared, "key").withColumn("most", F.col("n")), "buckets")
+    buckets = firsts.select(F.explode("buckets").alias("key"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
+    # written first, so that Spark can split the join below at very common keys
+    shared = staged(buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"), "shared")
+    members = staged(buckets.join(shared, "key").distinct().withColumn("most", F.col("n")), "buckets")
+    release(shared)
     release(made)
     sets = comps = None
     leaders, step = 1, 0

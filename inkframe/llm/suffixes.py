@@ -10,7 +10,8 @@ positions with one anchor, 60 to 90 bytes on average. The corpus is dealt by anc
    indexes: a run-compressed Burrows-Wheeler transform whose run ends are sampled with the length they share with their
    neighbours. Matching statistics are streamed from the samples: between two of them, each length is one less than the
    one before. Starts whose match has `LENGTH` bytes are marked;
-3. anchors with more than `CROWD` different blocks aren't indexed in one task: their strings are counted by hash, one by one.
+3. blocks of anchors with more than `CROWD` kinds are cut finer, into pieces keyed by the bytes that all their strings share,
+   until no more than `CROWD` kinds have a key; these go into the same indexes.
 
 Texts leave the scan once, to meet the marks. Defined results: a null text counts as empty; texts under `LENGTH` bytes keep
 everything; rows that repeat are documents too, so long enough ones lose everything; doc_id may be null or repeat.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import batches, mix64, small_batches, staged
+from inkframe.llm.common import batches, free_name, mix64, release, small_batches, staged
 
 LENGTH, GRAM = 200, 32
 CROWD = 64
-#: Starts of one piece of a crowded block.
-PIECE = 16
+#: Starts of one piece of a crowded block, cut after cut.
+PIECES = (16, 4, 1)
 #: Bytes of one index, about.
 INDEXED = 300_000
 _POSITION = np.uint64((1 << 24) - 1)
@@ -75,7 +77,7 @@ def _packed_blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     h, step, n = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), _ODD, 1
     while n < GRAM:
         h = h[:-n] * step + h[n:]
-        step, n = step * step, n * 2
+        step, n = np.uint64(int(step) ** 2 % (1 << 64)), n * 2
     h = mix64(h)
     low = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
     span, wide = 1, LENGTH - GRAM + 1
@@ -273,67 +275,81 @@ def _anchor_at(data: bytes, anchor: int) -> int:
     h, step, n = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), _ODD, 1
     while n < GRAM:
         h = h[:-n] * step + h[n:]
-        step, n = step * step, n * 2
+        step, n = np.uint64(int(step) ** 2 % (1 << 64)), n * 2
     return int(np.argmax(mix64(h).view(np.int64) == anchor))
 
 
-def _counted(contexts: DataFrame) -> DataFrame:
-    """Repeated starts of the single blocks of crowded anchors, from counts of hashes.
+def _cut(contexts: DataFrame, size: int) -> DataFrame:
+    """Contexts cut into pieces of at most `size` starts, at places counted from the anchor, with a key of what they share.
 
-    Blocks are cut into pieces of `PIECE` starts, aligned to their anchor, so equal stretches of many variants are one kind
-    of piece. Kinds seen twice are repeated throughout; of the others, each string is counted, once for each kind.
+    All strings that begin in one place of `size` starts contain the same `LENGTH` - `size` + 1 bytes, the piece's core. Equal
+    strings stand at equal distances from their anchor, so their pieces have equal cores: the core's hash is the new key.
     """
-    kind = ["anchor", "g", "ga", "gb"]
 
-    def cut(frames: Iterator) -> Iterator:
-        for frame in frames:
-            rows = []
-            for doc, th, anchor, at, single, data in zip(*(frame[c] for c in ("doc_id", "th", "anchor", "at", "single", "bytes")), strict=True):
-                start, n = divmod(at, 256)
-                shift = -_anchor_at(data, anchor) % PIECE
-                edges = sorted({0, n, *range((PIECE - shift) % PIECE, n, PIECE)})
-                for x, y in zip(edges, edges[1:], strict=False):
-                    piece = data[x : y + LENGTH - 1]
-                    ga, gb = np.frombuffer(xxhash.xxh3_128_digest(piece), np.int64).tolist()
-                    rows.append((doc, th, (start + x) * 256 + y - x, single, anchor, y - x, ga, gb, piece))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "at", "single", *kind, "piece"])
-
-    def strings(frames: Iterator) -> Iterator:
-        digest = xxhash.xxh3_128_digest
+    def run(frames: Iterator) -> Iterator:
         for whole in frames:
-            for a in range(0, len(whole), 512):
-                frame = whole.iloc[a : a + 512].reset_index(drop=True)
-                n = (frame["piece"].str.len() - LENGTH + 1).to_numpy().astype(np.int64)
-                made = b"".join(digest(view[k : k + LENGTH]) for view, m in zip(map(memoryview, frame["piece"]), n.tolist(), strict=True) for k in range(m))
-                pair = np.frombuffer(made, np.int64).reshape(-1, 2)
-                row = np.repeat(np.arange(len(frame)), n)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                out = frame[[*kind, "c"]].iloc[row].reset_index(drop=True)
-                yield out.assign(k=step.astype(np.int32), xa=pair[:, 0], xb=pair[:, 1])
+            for k in range(0, len(whole), 1024):
+                frame, rows = whole.iloc[k : k + 1024], []
+                for doc, th, anchor, at, single, phase, data in zip(*(frame[c] for c in ("doc_id", "th", "anchor", "at", "single", "phase", "bytes")), strict=True):
+                    start, n = divmod(at, 256)
+                    if phase < 0:
+                        phase = -_anchor_at(data, anchor) % PIECES[0]
+                    for x in sorted({0, *range(-phase % size, n, size)}):
+                        place = x - (phase + x) % size
+                        y = min(n, place + size)
+                        piece = data[x : y + LENGTH - 1]
+                        key = xxhash.xxh3_64_intdigest(data[place + size - 1 : place + LENGTH], seed=anchor % (1 << 64))
+                        ga, gb = np.frombuffer(xxhash.xxh3_128_digest(piece), np.int64).tolist()
+                        rows.append((doc, th, key - (key >> 63 << 64), (start + x) * 256 + y - x, single, (phase + x) % PIECES[0], ga, gb, piece))
+                yield pd.DataFrame(rows, columns=["doc_id", "th", "anchor", "at", "single", "phase", "ga", "gb", "bytes"])
+
+    made = contexts.select(F.col("doc_id").cast("string").alias("doc_id"), "th", "anchor", "at", "single", "phase", "bytes").mapInPandas(
+        run, "doc_id string, th long, anchor long, at long, single boolean, phase int, ga long, gb long, bytes binary"
+    )
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
-    ready = contexts.select(F.col("doc_id").cast("string").alias("doc_id"), "th", "anchor", "at", "single", "bytes")
-    pieces = ready.mapInPandas(cut, "doc_id string, th long, at long, single boolean, anchor long, g int, ga long, gb long, piece binary")
-    pieces = staged(pieces.withColumn("doc_id", F.col("doc_id").cast("long")), "pieces")
-    kinds = staged(pieces.groupBy(*kind).agg(F.count("*").alias("c"), F.min("piece").alias("piece")), "piece-kinds")
-    grams = kinds.mapInPandas(strings, "anchor long, g int, ga long, gb long, c long, k int, xa long, xb long")
-    twice = grams.groupBy("anchor", "xa", "xb").agg(F.sum("c").alias("n")).where("n > 1").drop("n")
-    some = grams.where("c = 1").join(twice, ["anchor", "xa", "xb"]).groupBy(*kind).agg(F.collect_set("k").alias("ks"))
-    single = pieces.where("single").drop("piece")
-    whole = single.join(kinds.where("c > 1").select(*kind), kind).select("doc_id", "th", "at")
-    parts = single.join(some, kind).select("doc_id", "th", F.col("at"), F.explode("ks").alias("k"))
-    parts = parts.select("doc_id", "th", ((F.floor(F.col("at") / 256) + F.col("k")) * 256 + 1).alias("at"))
-    return whole.unionByName(parts)
+
+def _uncrowded(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contexts of crowded anchors, cut finer and finer until those that can match fit an index: (marks found by counts, contexts).
+
+    Equal pieces are one kind, and kinds seen twice are repeated throughout. Pieces of one start with one key are of one kind,
+    so no crowd is left after the last cut.
+    """
+    marks, ready = [], []
+    kind = ["anchor", "ga", "gb"]
+    contexts = contexts.withColumn("phase", F.lit(-1))
+    for size in PIECES:
+        pieces = staged(_cut(contexts, size), "pieces")
+        facts = [F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "at", "single", "phase")).alias("ref"), F.min("bytes").alias("bytes")]
+        kinds = pieces.groupBy(*kind).agg(*facts)
+        kinds = staged(kinds.select(*kind, "c", "ref.doc_id", "ref.th", "ref.at", (F.col("ref.single") & (F.col("c") == 1)).alias("single"), "ref.phase", "bytes"), "kinds")
+        twice = pieces.where("single").join(kinds.where("c > 1").select(*kind), kind)
+        marks.append(staged(twice.select("doc_id", "th", "at"), "marks"))
+        groups = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.max("single").alias("open")).where("n > 1 and open")
+        # written first, so that Spark can split the joins below
+        groups = staged(groups.select("anchor", "n"), "groups")
+        here = staged(kinds.join(groups, "anchor").drop("c", "ga", "gb"), "contexts")
+        release(pieces, kinds, groups)
+        ready.append(here.where(F.col("n") <= CROWD))
+        contexts = here.where(F.col("n") > CROWD)
+        if contexts.isEmpty():
+            break
+    columns = ["doc_id", "th", "anchor", "at", "single", "bytes"]
+    return reduce(DataFrame.unionByName, marks), reduce(DataFrame.unionByName, (x.select(columns) for x in ready))
 
 
 def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents met with their settled marks, further marks of those that are open)."""
+    """(documents met with their settled marks, further marks of those that are open), both written."""
     small_batches(docs.sparkSession)
     anchors = _occurrences(docs, False).groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"))
-    anchors = anchors.where("n > 1").select("anchor", F.expr("a <> b").alias("mixed"))
+    # written first, so that Spark can split the join below at very common anchors
+    anchors = staged(anchors.where("n > 1").select("anchor", F.expr("a <> b").alias("mixed")), "anchors")
     seen = staged(_occurrences(docs, True).join(anchors, "anchor"), "blocks")
+    release(anchors)
     mixed = seen.where("mixed")
     kinds = staged(mixed.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("at", "doc_id", "th")).alias("ref")), "kinds")
     crowds = kinds.groupBy("anchor").agg(F.count("*").cast("int").alias("crowd"), F.min("c").alias("least")).where("least = 1").select("anchor", "crowd")
+    crowds = staged(crowds, "crowds")
     settled = seen.where("not mixed").select("doc_id", "th", "at").unionByName(
         mixed.join(kinds.where("c > 1").select("anchor", "content"), ["anchor", "content"]).select("doc_id", "th", "at")
     )
@@ -341,9 +357,11 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     settled = settled.select("doc_id", "th", "at", F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("single"), F.lit(0).alias("crowd"))
     wanted = settled.unionByName(asked).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "anchor", "single", "crowd")).alias("asks"))
     met = staged(_meet(docs, wanted), "met")
+    release(seen, kinds, crowds)
     contexts = met.select("doc_id", "th", F.explode("contexts").alias("x")).select("doc_id", "th", "x.*")
-    more = _indexed(contexts.where(F.col("crowd") <= CROWD)).unionByName(_counted(contexts.where(F.col("crowd") > CROWD)))
-    return met, more
+    marks, finer = _uncrowded(contexts.where(F.col("crowd") > CROWD).drop("crowd"))
+    plain = contexts.where(F.col("crowd") <= CROWD).select(finer.columns)
+    return met, staged(_indexed(plain.unionByName(finer)).unionByName(marks), "marks")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -359,32 +377,33 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((doc, *_finished(text.encode(), every)[:4]))
             yield pd.DataFrame(rows, columns=columns)
 
-    late = _late(met, more).mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return met.where("text is null").select(columns).unionByName(late.withColumn("doc_id", F.col("doc_id").cast("long")))
-
-
-def _late(met: DataFrame, more: DataFrame) -> DataFrame:
-    """Open documents with all their marks."""
     a = met.where("text is not null").select("doc_id", "th", "text", F.col("settled").alias("marks")).alias("a")
     b = more.groupBy("doc_id", "th").agg(F.collect_list("at").alias("more")).alias("b")
     joined = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.th = b.th"), "left")
-    return joined.select(F.col("a.doc_id").cast("string").alias("doc_id"), "a.text", "a.marks", "b.more")
+    late = joined.select(F.col("a.doc_id").cast("string").alias("doc_id"), "a.text", "a.marks", "b.more")
+    late = late.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = staged(met.where("text is null").select(columns).unionByName(late.withColumn("doc_id", F.col("doc_id").cast("long"))), "repeats")
+    release(met, more)
+    return out
 
 
 def trim_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated bytes removed; what is left of a character cut in two goes too. Null texts stay null."""
+    """The documents with repeated bytes removed; what is left of a character cut in two goes too. Null texts stay null, and all
+    other columns stay, whatever their names."""
     met, more = find_repeats(docs)
-    late = more.groupBy("doc_id", "th").agg(F.collect_list("at").alias("more"))
-    found = met.where("n_removed > 0 or text is not null").select("doc_id", "th", "settled").distinct().alias("b")
-    a = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).alias("a")
-    joined = a.join(found, F.expr("a.doc_id <=> b.doc_id and a._th = b.th"), "left").join(late.alias("c"), F.expr("a.doc_id <=> c.doc_id and a._th = c.th"), "left")
-
-    def run(texts: pd.Series, marks: pd.Series, extra: pd.Series) -> pd.Series:
-        out = []
-        for text, m, x in zip(texts, marks, extra, strict=True):
-            every = np.concatenate([np.asarray([] if v is None else v, np.int64) for v in (m, x)])
-            out.append(_finished(text.encode(), every)[4].decode("utf-8", "ignore") if text and len(every) else text)
+    marks = met.where("size(settled) > 0").select("doc_id", "th", F.explode("settled").alias("at")).unionByName(more)
+    marks = staged(marks.groupBy("doc_id", "th").agg(F.collect_set("at").alias("marks")), "trims")
+    release(met, more)
+    own = free_name("th", docs.columns)
+    a, b = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).alias("a"), marks.alias("b")
+    joined = a.join(b, F.expr(f"a.doc_id <=> b.doc_id and a.`{own}` = b.th"), "left")
+
+    def run(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        out = [
+            _finished(text.encode(), np.asarray(m, np.int64))[4].decode("utf-8", "ignore") if text and m is not None else text
+            for text, m in zip(texts, marks, strict=True)
+        ]
         return pd.Series(out, dtype=object)
 
-    trimmed = F.pandas_udf(run, "string")(F.col("a.text"), F.col("b.settled"), F.col("c.more"))
-    return joined.select(*(trimmed.alias("text") if c == "text" else F.col(f"a.{c}") for c in docs.columns))
+    trimmed = F.pandas_udf(run, "string")(F.col("a.text"), F.col("b.marks"))
+    return joined.select(*(trimmed.alias("text") if c == "text" else F.col(f"a.`{c}`") for c in docs.columns))
