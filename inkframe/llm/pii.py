@@ -5,8 +5,7 @@ instances: a pattern is as good as the share of its distinct instances that are
 patterns that extract it together (noisy or). Good instances are added to the known ones and the graph is scored again;
 in the end, confident patterns mark identifiers that the expressions don't know.
 
-Offsets are in code points, end exclusive. A match is found again in its text with locate() from the end of the match
-before: none of the expressions looks around what it takes, so its first occurrence from there is the match.
+Offsets are in code points, end exclusive: sums of the lengths of matches and of what stands between them.
 Expressions start only where a run starts and take runs possessively, so each is linear in the text.
 
 Defined results: a null text counts as empty; empty texts have no spans; rows that repeat give the same result each;
@@ -15,7 +14,7 @@ doc_id may be null or repeat (rows are told apart by id and text hash); other co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.llm.common import staged
@@ -32,6 +31,9 @@ EXPRESSIONS = {
 #: Words with a digit or an at sign: what a pattern may extract.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
+#: Matches whose offsets are summed in one run, and characters before a match that are looked at for its context.
+BLOCK, REACH = 128, 48
+
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DIGITS = "regexp_replace(x.v, '[^0-9]', '')"
 _LUHN = (
@@ -47,32 +49,44 @@ CHECKS = {
 _NEEDS = {"email": "t like '%@%'", "ip": "t rlike '[0-9]'", "card": "t rlike '[0-9]'", "phone": "t like '%+%'"}
 
 
-def _located(regex: str, needs: str) -> Column:
-    """All matches in column t as structs (s, e, v), leftmost first."""
-    found = f"if({needs}, regexp_extract_all(t, r'{regex}', 0), cast(array() as array<string>))"
-    at = "locate(m, t, acc.p)"
-    return F.expr(
-        f"aggregate({found}, named_struct('p', 1, 'o', cast(array() as array<struct<s:int,e:int,v:string>>)), "
-        f"(acc, m) -> named_struct('p', {at} + char_length(m), 'o', array_append(acc.o, "
-        f"named_struct('s', {at} - 1, 'e', {at} - 1 + char_length(m), 'v', m))), acc -> acc.o)"
-    )
+def _bound(value: str, name: str, body: str) -> str:
+    """`value` evaluated once and bound to `name` in `body`."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _before(spans: str) -> str:
-    """Each span of an array column with c, the lower-cased two words before it."""
-    left = "lower(substr(t, greatest(1, x.s - 47), least(x.s, 48)))"
-    return (
-        f"transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'v', lower(x.v), "
-        f"'c', regexp_replace(regexp_extract({left}, r'(\\S+\\s+)?\\S+\\s*+$', 0), r'\\s+', ' ')))"
+def _located(regex: str, needs: str) -> Column:
+    """All matches in column t as structs (s, e, v, c), leftmost first; c: the lower-cased two words before.
+
+    The text is split at the matches, so offsets are sums of lengths. Sums run within blocks of `BLOCK` matches and over
+    blocks, and contexts are put together from the ends of the pieces before, so the work follows the length of the text.
+    """
+    none = "cast(array() as array<struct<s:int,e:int,v:string,c:string>>)"
+    # n: length of the gap before a match and of the match; u: the last characters of both; g: those of the gap alone
+    step = (
+        f"transform(m, (x, i) -> named_struct('v', x, 'n', char_length(x), 'd', char_length(get(g, i)), "
+        f"'g', right(get(g, i), {REACH}), 'u', right(concat(right(get(g, i), {REACH}), right(x, {REACH})), {REACH})))"
+    )
+    total = "aggregate({}, 0, (a, y) -> a + y.n + y.d)".format
+    blocks = f"transform(sequence(0, (size(w) - 1) div {BLOCK}), b -> slice(w, b * {BLOCK} + 1, {BLOCK}))"
+    sums = f"transform(bs, b -> {total('b')})"
+    before = "aggregate(slice(ss, 1, i), 0, (a, y) -> a + y)"
+    left = f"concat(array_join(transform(slice(w, greatest(1, i * {BLOCK} + j + 1 - {REACH}), least({REACH}, i * {BLOCK} + j)), y -> y.u), ''), x.g)"
+    context = f"regexp_replace(regexp_extract(lower(right({left}, {REACH})), r'(\\S+\\s+)?\\S+\\s*+$', 0), r'\\s+', ' ')"
+    spans = _bound(
+        before,
+        "p",
+        "transform(b, (x, j) -> " + _bound(f"p + {total('slice(b, 1, j)')} + x.d", "q", f"named_struct('s', q, 'e', q + x.n, 'v', lower(x.v), 'c', {context})") + ")",
     )
+    placed = _bound(step, "w", _bound(blocks, "bs", _bound(sums, "ss", f"flatten(transform(bs, (b, i) -> {spans}))")))
+    pieces = _bound(f"split(t, r'{regex}', -1)", "g", placed)
+    return F.expr(f"if({needs}, " + _bound(f"regexp_extract_all(t, r'{regex}', 0)", "m", f"if(size(m) = 0, {none}, {pieces})") + f", {none})")
 
 
 def find_base(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, h (hash of the text), one array of spans with contexts for each kind, and the candidates."""
     out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    out = out.select("doc_id", "t", F.xxhash64("t").alias("h"), *(_located(EXPRESSIONS[k], _NEEDS[k]).alias(k) for k in KINDS), _located(CANDIDATE, "t rlike '[0-9@]'").alias("cand"))
-    out = out.select("doc_id", "t", "h", "cand", *(F.expr(f"filter({k}, x -> {CHECKS[k]})").alias(k) for k in KINDS))
-    return out.select("doc_id", "h", *(F.expr(_before(k)).alias(k) for k in (*KINDS, "cand")))
+    out = out.select("doc_id", F.xxhash64("t").alias("h"), *(_located(EXPRESSIONS[k], _NEEDS[k]).alias(k) for k in KINDS), _located(CANDIDATE, "t rlike '[0-9@]'").alias("cand"))
+    return out.select("doc_id", "h", "cand", *(F.expr(f"filter({k}, x -> {CHECKS[k]})").alias(k) for k in KINDS))
 
 
 def bootstrap(base: DataFrame, min_support: int = 5, min_pattern: float = 0.8, min_instance: float = 0.9) -> DataFrame:
@@ -82,11 +96,14 @@ def bootstrap(base: DataFrame, min_support: int = 5, min_pattern: float = 0.8, m
     of what is known in each round, and rounds go on until nothing is added and no score grows.
     """
     spots = F.concat(*(F.expr(f"transform({k}, x -> named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v, 'c', x.c))") for i, k in enumerate((*KINDS, "cand"))))
-    seen = base.select("doc_id", "h", F.explode(spots).alias("x"), *KINDS).select("doc_id", "h", "x.*", *KINDS)
-    clear = F.lit(True)
-    for k in KINDS:
-        clear = clear & ~F.exists(k, lambda y: (y["s"] < F.col("e")) & (F.col("s") < y["e"]))
+    # rows that repeat have the same spans
+    seen = base.select("doc_id", "h", F.explode(spots).alias("x")).select("doc_id", "h", "x.*").distinct()
     cand = F.col("k") == len(KINDS)
+    # candidates that overlap a base span go: the furthest end before one, and the next start after it
+    order = Window.partitionBy("doc_id", "h").orderBy("s", "k", "e").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("doc_id", "h").orderBy(F.desc("s"), F.desc("k"), F.desc("e")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("until", F.max(F.when(~cand, F.col("e"))).over(order)).withColumn("next", F.min(F.when(~cand, F.col("s"))).over(back))
+    clear = (F.coalesce("until", F.lit(0)) <= F.col("s")) & (F.coalesce("next", F.col("e")) >= F.col("e"))
     seen = seen.where((~cand | clear) & (F.length(F.trim("c")) > 0)).select("doc_id", "h", "k", "s", "e", "v", "c", F.when(cand & F.col("v").contains("@"), 1).otherwise(0).alias("at"))
     seen = staged(seen, "pii-contexts")
     # the graph: distinct pattern-instance links; seeds are known with their kind
