@@ -7,6 +7,9 @@ leaf of each tree, and every query opens leaves of all trees from one queue, lea
 `search` rows. Candidates are reranked by the exact product in double precision, leaf by leaf in blocks of bounded size,
 and each block sends on no more than `k` a query: no pair list is made, and no leaf, however full, is read by one task.
 
+Rows are told apart by a number of their own, given when they are first written, so rows that share a vec_id are all candidates
+and all queries: a repeated id may come more than once in a result, and a repeated query gives its rows each time.
+
 Defined results: vectors that are null, zero, or hold null or non-finite parts take no part, nor do null ids or other
 lengths than the most common one of the sample; ties go to the smaller id; with few rows all candidates are returned.
 """
@@ -21,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import bounded_sample, small_batches, staged
+from inkframe.llm.common import bounded_sample, release, small_batches, staged
 
 BLOCK = 1024
 
@@ -134,25 +137,25 @@ def search(
     spark = vectors.sparkSession
     small_batches(spark, 4096)
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors)
+    rows = staged(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     total = rows.count()
-    sample = bounded_sample(rows, sample_rows, "vec_id", "embedding").collect()
+    sample = bounded_sample(rows, sample_rows, "vec_id", "embedding", "row").collect()
     if not sample:
         return spark.createDataFrame([], schema)
-    sizes = [len(x) for _, x in sample]
+    sizes = [len(r["embedding"]) for r in sample]
     width = max(set(sizes), key=sizes.count)
     rows = rows.where(F.size("embedding") == width)
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     top = rows.agg(F.max(squares)).first()[0]
-    picked = _matrix([x for _, x in sample if len(x) == width], width)
-    names = np.array([i for i, x in sample if len(x) == width], np.int64)
+    sample = [r for r in sample if len(r["embedding"]) == width]
+    picked = _matrix([r["embedding"] for r in sample], width)
+    names = np.array([(r["vec_id"], r["row"]) for r in sample], np.int64)
 
     def lift(x: np.ndarray) -> np.ndarray:
         return np.c_[x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]
 
     forest = [grow(lift(picked), max(2, int(leaf / max(total / len(sample), 1))), seed) for seed in range(trees)]
-    once = np.unique(names, return_index=True)[1]  # an id that repeats must not count twice in a bound
-    shared = spark.sparkContext.broadcast((forest, picked[once], names[once]))  # the sample, and at most trees x sample_rows planes
+    shared = spark.sparkContext.broadcast((forest, picked, names))  # the sample, and at most trees x sample_rows planes
 
     def place(frames: Iterator) -> Iterator:
         for frame in frames:
@@ -161,7 +164,7 @@ def search(
             yield frame.assign(leaves=list(at.astype(np.int32)))
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    placed = staged(rows.mapInPandas(place, f"vec_id long, embedding {kind}, leaves array<int>"), "leaves")
+    placed = staged(rows.mapInPandas(place, f"vec_id long, embedding {kind}, row long, leaves array<int>"), "leaves")
     held = [np.zeros(t.leaves, np.int64) for t in forest]
     leaves = placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count()
     for r in leaves.collect():  # one row for each leaf of the forest
@@ -172,7 +175,7 @@ def search(
     def sampled(part, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
         """Products with the sample, the query itself left out, and the k-th of them."""
         _, known, known_ids = shared.value
-        near = np.where(known_ids == part["vec_id"].to_numpy()[:, None], -np.inf, x @ known.T)
+        near = np.where(known_ids[:, 1] == part["row"].to_numpy()[:, None], -np.inf, x @ known.T)
         return near, np.partition(near, -k, axis=1)[:, -k] if len(known) >= k else np.full(len(x), -np.inf)
 
     def first(frames: Iterator) -> Iterator:
@@ -183,10 +186,10 @@ def search(
             for a in range(0, len(frame), 256):
                 part = frame.iloc[a : a + 256]
                 near, bound = sampled(part, _matrix(part["embedding"].tolist(), width))
-                for query, s, b in zip(part["vec_id"].tolist(), near, bound, strict=True):
+                for query, s, b in zip(part["row"].tolist(), near, bound, strict=True):
                     at = np.nonzero((s >= b) & np.isfinite(s))[0]
-                    at = at[np.lexsort((known_ids[at], -s[at]))][:k]
-                    yield pd.DataFrame({"query_id": np.full(len(at), query), "vec_id": known_ids[at], "score": s[at]})
+                    at = at[np.lexsort((known_ids[at, 1], known_ids[at, 0], -s[at]))][:k]
+                    yield pd.DataFrame({"query": np.full(len(at), query), "vec_id": known_ids[at, 0], "row": known_ids[at, 1], "score": s[at]})
 
     def probe(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -200,7 +203,7 @@ def search(
                 found = [open_leaves(trees_, counts.value, np.r_[v, 0.0], wanted) for v in x]
                 yield pd.DataFrame(
                     {
-                        "query_id": part["vec_id"].to_numpy(),
+                        "query": part["row"].to_numpy(),
                         "embedding": part["embedding"].to_numpy(),
                         "bound": bound - 1e-9 * np.maximum(1, np.abs(bound)),
                         "tree": [[i for i, _ in f] for f in found],
@@ -208,45 +211,47 @@ def search(
                     }
                 )
 
-    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding")
-    probes = queries.mapInPandas(probe, f"query_id long, embedding {kind}, bound double, tree array<int>, leaf array<int>")
-    probes = probes.select("query_id", "embedding", "bound", F.explode(F.arrays_zip("tree", "leaf")).alias("x")).select("query_id", "embedding", "bound", "x.*")
+    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding", "row")
+    probes = queries.mapInPandas(probe, f"query long, embedding {kind}, bound double, tree array<int>, leaf array<int>")
+    probes = probes.select("query", "embedding", "bound", F.explode(F.arrays_zip("tree", "leaf")).alias("x")).select("query", "embedding", "bound", "x.*")
     # a leaf's rows are dealt over blocks by their ids; its queries visit each block
     sizes_of = [(i, j, -(-int(n) // BLOCK)) for i, c in enumerate(held) for j, n in enumerate(c.tolist()) if n]
     blocks = spark.createDataFrame(sizes_of, "tree int, leaf int, blocks int")
-    member = placed.select("vec_id", "embedding", F.posexplode("leaves").alias("tree", "leaf")).join(F.broadcast(blocks), ["tree", "leaf"])
-    member = member.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    member = placed.select("vec_id", "embedding", "row", F.posexplode("leaves").alias("tree", "leaf")).join(F.broadcast(blocks), ["tree", "leaf"])
+    member = member.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     asker = probes.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def rerank(askers, members):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         m = _matrix(members["embedding"].tolist(), width)
-        ids = members["vec_id"].to_numpy()
+        ids, own = members["vec_id"].to_numpy(), members["row"].to_numpy()
         for a in range(0, len(askers) if len(m) else 0, 512):
             part = askers.iloc[a : a + 512]
-            q, bound = part["query_id"].to_numpy(), part["bound"].to_numpy()
+            q, bound = part["query"].to_numpy(), part["bound"].to_numpy()
             p = _matrix(part["embedding"].tolist(), width) @ m.T
-            hit = (p >= bound[:, None]) & (ids != q[:, None])
+            hit = (p >= bound[:, None]) & (own != q[:, None])
             for i in np.nonzero(hit.sum(1) > k)[0].tolist():
                 at = np.nonzero(hit[i])[0]
-                hit[i, at[np.lexsort((ids[at], -p[i, at]))][k:]] = False
+                hit[i, at[np.lexsort((own[at], ids[at], -p[i, at]))][k:]] = False
             i, j = np.nonzero(hit)
-            out.append((q[i], ids[j], p[i, j]))
-        q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+            out.append((q[i], ids[j], own[j], p[i, j]))
+        q, v, r, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"query": q, "vec_id": v, "row": r, "score": s})
 
     by = ["tree", "leaf", "block"]
-    asker, member = asker.select(*by, "query_id", "embedding", "bound"), member.select(*by, "vec_id", "embedding")
-    near = asker.groupBy(*by).cogroup(member.groupBy(*by)).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    near = near.unionByName(queries.mapInPandas(first, "query_id long, vec_id long, score double"))
-    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id")
+    asker, member = asker.select(*by, "query", "embedding", "bound"), member.select(*by, "vec_id", "embedding", "row")
+    near = asker.groupBy(*by).cogroup(member.groupBy(*by)).applyInPandas(rerank, "query long, vec_id long, row long, score double")
+    near = near.unionByName(queries.mapInPandas(first, "query long, vec_id long, row long, score double"))
+    best = near.groupBy("query", "vec_id", "row").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "vec_id", "row")
     # the measure itself, added up in one order whatever block a pair was met in
-    a = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
-    exact = best.join(a, "query_id").join(rows.withColumnRenamed("embedding", "b"), "vec_id")
+    a = rows.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
+    exact = best.join(a, "query").join(rows.select("row", F.col("embedding").alias("b")), "row")
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    exact = exact.select("query_id", "vec_id", dot.alias("score")).dropDuplicates(["query_id", "vec_id"])
-    return exact.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
+    exact = exact.select("query", "query_id", "vec_id", "row", dot.alias("score"))
+    found = staged(exact.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score"), "nearest")
+    release(rows, placed)
+    return found

@@ -2,14 +2,14 @@
 
 Only lengths matter to the plan, and there are no more lengths than the capacity: the plan is made on the driver from a
 histogram of at most `capacity` counts, however many pieces there are. It is a list of patterns (lengths that share a
-sequence) with how often each is used. Gaps are closed exactly by single lengths, pairs and triples looked up by their
-sum, as many at once as the counts allow; what can't be closed is packed best fit.
+sequence) with how often each is used. Sums of single lengths, pairs and triples are indexed (`Sums`); gaps are closed exactly by
+what the index has for them, as many at once as the counts allow; what can't be closed is packed best fit.
 
 Pieces then find their places by rank within their length. Ranks come from counts by (length, salt), so one very common
 length is dealt over many tasks.
 
 Defined results: a null text counts as empty; a document has at least its closing id; repeated rows are packed each;
-an empty table gives no pieces; ids may be null or repeat.
+an empty table gives no pieces; ids may be null or repeat; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,27 +104,59 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     return unkeyed(keyed(docs).mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long"))
 
 
-def _exact(avail: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths whose sum is the gap; larger lengths first."""
-    if avail[gap] > 0:
-        return (gap,)
-    have = avail[: gap + 1] > 0
-    low = np.arange(1, gap // 2 + 1)
-    ok = have[low] & have[gap - low]
-    if gap % 2 == 0 and gap and avail[gap // 2] < 2:
-        ok[gap // 2 - 1] = False
-    if ok.any():
-        a = int(low[np.argmax(ok)])
-        return (gap - a, a)
-    for c in np.nonzero(have[:gap])[0][::-1].tolist():
-        rest = gap - c
-        a = np.arange(1, rest // 2 + 1)
-        ok = have[a] & have[rest - a]
-        for at in np.nonzero(ok)[0].tolist():
-            found = (c, rest - (at + 1), at + 1)
-            if all(avail[x] >= found.count(x) for x in found):
-                return found
-    return None
+class Sums:
+    """Which lengths, pairs and triples of lengths have a sum, under counts that only fall.
+
+    Pairs are listed by sum once; triples by sum as a length and a sum of pairs. What has run out is dropped from the front
+    of a list for good, so all look-ups together walk each list once.
+    """
+
+    def __init__(self, avail: np.ndarray):
+        self.avail, self.held = avail, 0
+        have = avail > 0
+        self.pairs: list[list[int]] = [[] for _ in avail]  # the smaller length, the smallest last
+        for total in range(2, len(avail)):
+            low = np.arange(1, total // 2 + 1)
+            self.pairs[total] = low[have[low] & have[total - low]][::-1].tolist()
+        some = np.array([bool(x) for x in self.pairs])
+        self.triples: list[list[int]] = [[] for _ in avail]  # one of the three, the largest last
+        for total in range(3, len(avail)):
+            one = np.arange(1, total - 1)
+            self.triples[total] = one[have[one] & some[total - one]].tolist()
+
+    def _enough(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.avail[x] >= lengths.count(x) for x in lengths)
+
+    def _live_pairs(self, total: int) -> Iterator[tuple[int, int]]:
+        """Pairs with that sum, those that have run out dropped."""
+        found = self.pairs[total]
+        left = lambda x: self.avail[x] + (x == self.held) > 0  # noqa: E731  without the piece in use
+        while found and not (left(found[-1]) and left(total - found[-1])):
+            found.pop()
+        return ((total - b, b) for b in reversed(found))
+
+    def fill(self, gap: int, held: int) -> tuple[int, ...] | None:
+        """Lengths that close the gap exactly, beside one piece of length `held` that is in use already."""
+        self.held = held
+        self.avail[held] -= 1
+        try:
+            if self.avail[gap] > 0:
+                return (gap,)
+            for pair in self._live_pairs(gap):
+                if self._enough(pair):
+                    return pair
+            ones = self.triples[gap]
+            # the held length may look run out for this gap only, so nothing but true ends are dropped
+            while ones and self.avail[ones[-1]] + (ones[-1] == held) <= 0:
+                ones.pop()
+            for c in reversed(ones):
+                if self.avail[c] > 0:
+                    for pair in self._live_pairs(gap - c):
+                        if self._enough((c, *pair)):
+                            return (c, *pair)
+            return None
+        finally:
+            self.avail[held] += 1
 
 
 def _uses(avail: np.ndarray, lengths: tuple[int, ...]) -> int:
@@ -146,13 +178,12 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[in
     if avail[capacity]:
         use((capacity,))
     open_lengths = []
+    sums = Sums(avail)
     for length in range(capacity - 1, 0, -1):
         while avail[length] > 0:
-            n, avail[length] = avail[length], avail[length] - 1
-            found = _exact(avail, capacity - length)
-            avail[length] = n
+            found = sums.fill(capacity - length, length)
             if found is None:
-                open_lengths.append((length, int(n)))
+                open_lengths.append((length, int(avail[length])))
                 avail[length] = 0
                 break
             use((length, *found))

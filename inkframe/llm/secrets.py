@@ -4,9 +4,15 @@ The field tags tokens as secret begin (B), inside (I) or outside (O) from shape,
 file. It learns from the base expressions' own finds in a bounded sample of documents (`sample_rows`), without being
 told the expressions, and adds what looks and stands like them elsewhere.
 
-Only tokens of 12 characters or more with two digits and a letter can be B or I; that is a rule of the model, so lines without
-such a token are O throughout and are not decoded, and shorter secrets or ones of letters only are never added. Decoding works on a window of `AROUND` characters on both sides of such
-tokens, overlapping windows joined, cut at line ends; no text is skipped.
+Its finds must not be the only labels: a field that learnt from them as they are would know the words that the expressions
+ask for and take all other secrets for none. So a first field learns without seeing any words, from shapes and marks only;
+what it takes for a secret in the sample is one for the second field, which learns with words and, for windows with a
+secret, once more without them. Values beside words that the expressions don't know are found that way.
+
+Only tokens of 6 characters or more that mix letters with digits, or 12 or more that mix cases or marks, can be B or I; that
+is a rule of the model, so lines without such a token are O throughout and are not decoded, and short secrets of plain letters
+are never added. Decoding works on a window of `AROUND` characters on both sides of such tokens, overlapping windows
+joined, cut at line ends; no text is skipped.
 
 Offsets are in code points, end exclusive. Defined results: a null text counts as empty; empty texts have no spans; where
 the sample holds no secret, the base spans are all; repeated rows give the same result each; other columns are ignored.
@@ -30,7 +36,6 @@ from inkframe.llm.common import batches, bounded_sample, keyed, small_batches, u
 KINDS = ("assign", "access", "hex", "secret")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-
 def _either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
@@ -41,8 +46,9 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: Equals signs belong to a token only at its end: in front of a value they are what it stands beside.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_.=-]))?|[^\sA-Za-z0-9+/_.-]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{6,}")
 AROUND = 80
 SPACE = 1 << 14
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -62,9 +68,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
+_DIGIT, _LOWER, _UPPER, _MARK = map(re.compile, ("[0-9]", "[a-z]", "[A-Z]", "[+/_=]"))
+
+
 def may_be_secret(token: str) -> bool:
-    digits = sum(c.isdigit() for c in token)
-    return len(token) >= 12 and digits >= 2 and (any(c.isalpha() for c in token))
+    low = _LOWER.search(token)
+    if len(token) < 6 or not (low or _UPPER.search(token)):
+        return False
+    if _DIGIT.search(token):
+        return True
+    # capitals inside, not only in front
+    return len(token) >= 12 and bool(_MARK.search(token) or low and _UPPER.search(token, low.end()))
 
 
 def windows(text: str) -> list[tuple[int, int]]:
@@ -90,12 +104,12 @@ def shape(token: str) -> str:
     return s if len(s) <= 6 else f"{''.join(sorted(set(s)))}*"
 
 
-def token_features(tokens: list[str], file: list[str]) -> list[list[int]]:
-    """Hashed features of each token."""
+def token_features(tokens: list[str], file: list[str], blind: bool = False) -> list[list[int]]:
+    """Hashed features of each token; `blind`: without the words themselves."""
     look = []
     for w in tokens:
         kind = "hex" if re.fullmatch("[0-9a-f]+", w) else "HEX" if re.fullmatch("[0-9A-F]+", w) else "mix" if re.search("[0-9]", w) else "word" if w.isalpha() else "mark"
-        look.append((w.lower() if len(w) <= 12 else "", shape(w), kind, f"{min(len(w) // 8, 8)}"))
+        look.append((w.lower() if len(w) <= 12 and not (blind and kind != "mark") else "", shape(w), kind, f"{min(len(w) // 8, 8)}"))
     edge = ("", "<>", "", "")
     out = []
     for i, w in enumerate(tokens):
@@ -234,20 +248,31 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, most_windows: int = 4000) ->
                         can = may_be_secret(text[x:y])
                         tags.append(OUTSIDE if owner is None or not can else INSIDE if owner == last else BEGIN)
                         last = owner if can else None
-                    f = token_features(tokens, file)
-                    out.append(([z for y in f for z in y], tags, [may_be_secret(w) for w in tokens]))
-            yield pd.DataFrame(out, columns=["ids", "tags", "can"])
+                    can = [may_be_secret(w) for w in tokens]
+                    both = ([z for y in token_features(tokens, file, blind) for z in y] for blind in (False, True))
+                    out.append((*both, tags, can))
+            yield pd.DataFrame(out, columns=["ids", "blind", "tags", "can"])
 
-    got = rows.mapInPandas(label, "ids array<int>, tags array<int>, can array<boolean>")
+    got = rows.mapInPandas(label, "ids array<int>, blind array<int>, tags array<int>, can array<boolean>")
     got = bounded_sample(got, most_windows, "ids").toPandas()
     data = []
-    for ids, tags, can in zip(got["ids"], got["tags"], got["can"], strict=True):
-        ids = np.asarray(ids).reshape(len(tags), -1)
+    for ids, blind, tags, can in zip(got["ids"], got["blind"], got["tags"], got["can"], strict=True):
+        ids, blind = (np.asarray(x).reshape(len(tags), -1) for x in (ids, blind))
         # long lines are cut for learning only
-        data += [(ids[k : k + 60].tolist(), list(can[k : k + 60]), list(tags[k : k + 60])) for k in range(0, len(tags), 60)]
-    if not any(any(x[2]) for x in data):
+        data += [(ids[k : k + 60].tolist(), blind[k : k + 60].tolist(), list(can[k : k + 60]), list(tags[k : k + 60])) for k in range(0, len(tags), 60)]
+    return learn(data)
+
+
+def learn(data: list[tuple[list, list, list[bool], list[int]]]) -> Field:
+    """The field of windows with features, blind features, what may be secret, and tags of the base finds."""
+    if not any(any(x[3]) for x in data):
         return Field(None, None)
-    return _learn(data)
+    first = _learn([(blind, can, tags) for _, blind, can, tags in data])
+    for k in range(0, len(data), 256):
+        part = data[k : k + 256]
+        for (_, _, _, tags), found in zip(part, decode(first, *_pad([x[1:3] for x in part])).tolist(), strict=True):
+            tags[:] = [t or f for t, f in zip(tags, found, strict=False)]
+    return _learn([(ids, can, tags) for ids, _, can, tags in data] + [(blind, can, tags) for _, blind, can, tags in data if any(tags)])
 
 
 def field_spans(field: Field, text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:

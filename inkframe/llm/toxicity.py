@@ -25,21 +25,33 @@ from inkframe.llm.common import batches, bounded_sample, crc_mod, keyed, small_b
 SPACE = 1 << 22
 STEM = 5
 REMEMBERED = 500_000
-#: Terms that name groups (fixed values); each is swapped for the next of its line.
+#: Terms that name groups (fixed values), in the languages of the corpus; each is swapped for the next of its line.
 IDENTITY = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("girls", "boys"),
+    ("women", "men"), ("woman", "man"), ("girls", "boys"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("gay", "straight", "lesbian", "bisexual"),
-    ("transgender", "cisgender"),
+    ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
     ("black", "white", "asian", "latino", "hispanic", "african", "european"),
-    ("immigrants", "refugees", "foreigners", "natives"),
-    ("disabled", "blind", "deaf"),
-    ("old", "young"),
-)
-SWAP = {w: g[(i + 1) % len(g)] for g in IDENTITY for i, w in enumerate(g)}
+    ("immigrants", "refugees", "foreigners", "natives"), ("disabled", "blind", "deaf"), ("old", "young"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"), ("schwul", "lesbisch", "bisexuell"),
+    ("ausländer", "flüchtlinge", "einwanderer", "einheimische"), ("behinderte", "blinde", "gehörlose"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("homosexuel", "lesbienne", "bisexuel"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"), ("handicapés", "aveugles", "sourds"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("homosexual", "lesbiana"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"), ("discapacitados", "ciegos", "sordos"),
+)
+
+
+def swaps(groups: tuple[tuple[str, ...], ...]) -> dict[str, str]:
+    """Each term with the next of its line; a term of several lines is swapped as in the first."""
+    out: dict[str, str] = {}
+    for g in groups:
+        for i, w in enumerate(g):
+            out.setdefault(w, g[(i + 1) % len(g)])
+    return out
 
 
 def plain(word: str) -> str:
@@ -63,13 +75,13 @@ def features(word: str) -> tuple[int, ...]:
     return (feature(word),) if len(word) <= STEM else (feature(word), feature(word[:STEM] + "*"))
 
 
-def _document_features(text: str, swapped: bool = False) -> list[int] | None:
-    """Distinct features of a text; of its twin, if `swapped`, and None where no term is there to swap."""
+def _document_features(text: str, swap: dict[str, str] | None = None) -> list[int] | None:
+    """Distinct features of a text; of its twin, if terms are swapped, and None where no term is there to swap."""
     words = {x for w in set(text.split()) if (x := plain(w))}
-    if swapped:
-        if words.isdisjoint(SWAP):
+    if swap is not None:
+        if words.isdisjoint(swap):
             return None
-        words = {SWAP.get(w, w) for w in words}
+        words = {swap.get(w, w) for w in words}
     return sorted({f for w in words for f in features(w)})
 
 
@@ -82,8 +94,12 @@ class Model:
     bias: float | None
 
 
-def fit(labelled: DataFrame, sample_rows: int = 10_000, least_rows: int = 5, chi_square: float = 11.0, most: int = 512, ridge: float = 0.03, counterfactual: float = 50.0) -> Model:
-    """Fit from rows with text and toxic (0 or 1); about `sample_rows` of them, chosen by hash, if there are more."""
+def fit(labelled: DataFrame, sample_rows: int = 10_000, least_rows: int = 5, chi_square: float = 11.0, most: int = 512, ridge: float = 0.03, counterfactual: float = 50.0, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+    """Fit from rows with text and toxic (0 or 1); about `sample_rows` of them, chosen by hash, if there are more.
+
+    `identity`: lines of terms that may stand for one another; `counterfactual`: the weight of a score's squared change.
+    """
+    swap = swaps(identity)
     small_batches(labelled.sparkSession)
     rows = bounded_sample(labelled.where("toxic is not null").select("toxic", F.coalesce("text", F.lit("")).alias("text")), sample_rows, "toxic", "text")
 
@@ -112,7 +128,7 @@ def fit(labelled: DataFrame, sample_rows: int = 10_000, least_rows: int = 5, chi
     best = counts.where((F.col("feature") >= 0) & (F.col("df") >= least_rows) & (F.col("df") < n) & (F.col("tf") > want))
     best = best.withColumn("chi", chi).where(F.col("chi") >= chi_square).orderBy(F.desc("chi"), "feature").limit(most)
     chosen = np.array(sorted(r["feature"] for r in best.collect()), np.int64)
-    twins = [feature(SWAP[w]) for w in SWAP if not {*features(w)}.isdisjoint(chosen.tolist())]
+    twins = [f for w in swap if not {*features(w)}.isdisjoint(chosen.tolist()) for f in features(swap[w])]
     chosen = np.unique(np.r_[chosen, twins].astype(np.int64))
     place = {f: i for i, f in enumerate(chosen.tolist())}
 
@@ -121,7 +137,7 @@ def fit(labelled: DataFrame, sample_rows: int = 10_000, least_rows: int = 5, chi
 
         for part in batches(frames):
             has = [[place[f] for f in _document_features(t) if f in place] for t in part["text"]]
-            twin = [None if (f := _document_features(t, True)) is None else [place[x] for x in f if x in place] for t in part["text"]]
+            twin = [None if (f := _document_features(t, swap)) is None else [place[x] for x in f if x in place] for t in part["text"]]
             yield pd.DataFrame({"toxic": part["toxic"].astype("int32"), "has": has, "twin": twin})
 
     got = rows.mapInPandas(extract, "toxic int, has array<int>, twin array<int>").toPandas()

@@ -391,3 +391,95 @@ def test_pii_bootstraps_round_by_round(spark):
     assert found["call number " + first[0]] == "phone:12:22"
     assert found["reach desk " + second[0]] == "phone:11:21"
     assert found["dial front " + third[0]] == "phone:11:21"
+
+
+def test_pii_many_matches(spark):
+    """A long text full of matches: offsets are sums, so time follows its length, and they are still right."""
+    text = "ab x@y.de 1 8.8.8.8, +1 (555) 010-9999 é " * 3000
+    found = pii.digest(pii.scan(spark.createDataFrame([(1, text), (2, "é" + text)], "doc_id long, text string"))).collect()
+    for r in found:
+        t = text if r["doc_id"] == 1 else "é" + text
+        spans = [(k, m.start(), m.end()) for k, p in (("email", r"x@y\.de"), ("ip", r"8\.8\.8\.8"), ("phone", r"\+1 \(555\) 010-9999")) for m in re.finditer(p, t)]
+        assert (r["n_email"], r["n_ip"], r["n_phone"], r["base_sha256"]) == (3000, 3000, 3000, digest(spans))
+
+
+def test_packing_sums():
+    """The index gives what a search through all combinations gives, as counts fall."""
+    from itertools import combinations_with_replacement
+
+    avail = np.zeros(61, np.int64)
+    for x in rng.integers(1, 50, 40):
+        avail[x] += 1
+    sums = packing.Sums(avail)
+    for gap in rng.integers(1, 60, 60).tolist():
+        held = int(rng.choice(np.nonzero(avail)[0]))
+        avail[held] -= 1
+        some = any(sum(c) == gap and all(avail[x] >= c.count(x) for x in c) for n in (1, 2, 3) for c in combinations_with_replacement(np.nonzero(avail)[0].tolist(), n))
+        avail[held] += 1
+        found = sums.fill(gap, held)
+        assert (found is not None) == some
+        if found:
+            assert sum(found) == gap
+            for x in found:
+                avail[x] -= 1
+            assert avail.min() >= 0
+
+
+def test_secrets_beside_unknown_words(spark):
+    """Values that look like known secrets, beside words that no base expression asks for: only the field finds them."""
+    def value():
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 10)) + "7x"
+
+    texts = [f"{' '.join(words(4))} password={value()} {' '.join(words(4))}" for _ in range(200)] + [f"{' '.join(words(6))} item{i % 90} of {' '.join(words(4))}" for i in range(200)]
+    hidden = [f"{' '.join(words(4))} pwd={value()} {' '.join(words(4))}" for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts + hidden)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(docs, secrets.fit(docs))).collect()}
+    assert sum("secret:" in found[i] for i in range(400, 420)) >= 18
+    assert not any("secret:" in found[i] for i in range(400))
+    none = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(docs, secrets.Field(None, None))).collect()}
+    assert not any(none[i] for i in range(400, 420))
+
+
+def test_toxicity_penalty_decides(spark):
+    """Insults stand beside one group's name only: without the penalty the name alone is enough to be marked, with it not."""
+    rows_ = []
+    for i in range(900):
+        bad = i % 3 == 0
+        insult = rng.choice(["vile", "nasty", "foul", "mean"]) if bad and i % 2 else ""
+        rows_.append((f"{' '.join(words(8))} {'frauen' if bad or i % 30 == 1 else 'männer'} {insult}", int(bad)))
+    labelled = spark.createDataFrame(rows_, "text string, toxic int")
+    docs = spark.createDataFrame([(1, "die frauen kamen"), (2, "vile frauen")], "doc_id long, text string")
+
+    def scores(**how):
+        return [r["score"] for r in toxicity.score(docs, toxicity.fit(labelled, **how)).orderBy("doc_id").collect()]
+
+    assert scores(counterfactual=0.0)[0] > 0.5
+    on = scores()
+    assert on[0] < 0.5 < on[1]
+    assert scores(identity=())[0] > 0.5
+
+
+def test_ann_repeated_ids(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 6)).astype(np.float32)
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, (x[0] * 3).tolist()), (1, (x[0] * 3).tolist()), (0, (x[0] * 2).tolist())]
+    got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>")).toPandas()
+    assert len(got[got["query_id"] == 0]) == 40
+    part = got[(got["query_id"] == 0) & (got["rank"] <= 3)].sort_values(["rank", "vec_id"])
+    # of the two queries with id 0, each finds both rows with id 1, and the other row with its own id
+    assert part["vec_id"].tolist() == [1, 1, 1, 1, 0, 0]
+
+
+def test_ann_recall(spark):
+    """Most leaves are skipped, and the sample is a small part: recall against brute force."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(20_000, 32)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(vectors, every=200, sample_rows=1500).toPandas()
+    d = x.astype(float)
+    hits = 0
+    for query, part in got.groupby("query_id"):
+        s = d @ d[query]
+        s[query] = -np.inf
+        hits += len(set(part["vec_id"]) & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * got["query_id"].nunique()
