@@ -9,10 +9,10 @@ is the least place seen when the second is turned by k. All coordinates of a shi
 
 Candidates are never all pairs of a bucket at once. Each bucket links its members to one leader; links are verified on the
 full sets and joined to components. The leader has then met everyone and goes, and only members that may still be linked
-with a member of another component stay, so buckets of two and buckets of copies end there. The rest goes on with 16, 256 ...
-leaders, until no bucket is left. "May be linked" is exact: sizes must allow the similarity, and in crowded buckets only
-shingles that another member of such a bucket has can be shared, which leaves nothing to compare for the copies that are
-edited too much to be linked. No pair is dropped by an estimate, and there is no cap.
+with a member of another component stay, so buckets of two and buckets of copies end there. What is left of crowded buckets is
+dealt anew by rare shingles, in an exact way (see `_refined`), and then the rest goes on with 16, 256 ... leaders, until no
+bucket is left. "May be linked" is exact too: sizes, and shingles that others have, must allow the similarity. No pair is
+dropped by an estimate, and there is no cap.
 
 Shingles are compared as 64-bit hashes: two different ones of a pair of documents agree by chance once in 1e13 pairs or so.
 
@@ -34,7 +34,7 @@ from inkframe.llm.common import batches, components, keyed, mix64, release, smal
 WORDS = 5
 BANDS, ROWS = 40, 4
 CIRCLE = 1 << 16
-#: From so many members on, a bucket's members are first held against the shingles that they share.
+#: From so many members on, what is left of a bucket is dealt anew by rare shingles.
 CROWDED = 8
 #: Each pass has so many times the leaders of the one before.
 MORE = 16
@@ -203,7 +203,7 @@ def link(docs: DataFrame, similarity: tuple[int, int] = (75, 100)) -> tuple[Data
         members = staged(_mixed(rest, comps, similarity), "buckets")
         release(*spent)
         if not step:
-            members = _bounded(members, sets, comps, similarity)
+            members = _refined(members, sets, comps, similarity)
         step, leaders = step + 1, leaders * MORE
     release(members, sets)
     return classed, comps
@@ -266,23 +266,30 @@ def _mixed(members: DataFrame, comps: DataFrame, similarity: tuple[int, int]) ->
     facts = side.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.max("most").alias("top"), F.count("*").alias("size"))
     facts = facts.where("lo <> hi").drop("lo", "hi")
     can = _possible(F.col("most"), F.col("top"), F.col("n"), F.col("least"), similarity)
-    return members.select("key", "id", "n", "most").join(facts, "key").where(can).select("key", "id", "n", "most", "size")
+    return members.select("key", "id", "n", "most").join(facts, "key").where(can).select("key", "id", "n", "most", "size", "least")
 
 
-def _bounded(members: DataFrame, sets: DataFrame, comps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Members of crowded buckets with `most` lowered to the number of their shingles that any other of them has.
+def _refined(members: DataFrame, sets: DataFrame, comps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Members with crowded buckets replaced by buckets of rare shingles, which hold all their pairs that can be linked.
 
-    What only one of them has is in no intersection, so this drops no link; in a group of edited copies it settles at once
-    the ones too far from all others, which would else be compared with every copy.
+    Of a set's n shingles a similar one has at least `need`, so with shingles in one order for all, rarest first, two similar
+    sets share one of their first n - need + 1. Shingles that no other member of a crowded bucket has can't be shared and
+    use up places. A copy edited too much to be linked has nothing left but rare shingles or nothing at all, so it meets
+    the few that share its edits, and not every copy of its text.
     """
-    crowd = members.where(F.col("size") >= CROWDED).select(F.col("id").alias("doc_id")).distinct()
-    grams = sets.join(crowd, "doc_id").select(F.col("doc_id").alias("id"), F.explode("set").alias("gram"))
-    common = grams.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("gram")
-    held = grams.join(common, "gram").groupBy("id").agg(F.count("*").alias("held"))
-    some = members.join(held, "id", "left")
-    lowered = F.when(F.col("size") >= CROWDED, F.coalesce("held", F.lit(0))).otherwise(F.col("most"))
-    out = staged(_mixed(some.select("key", "id", "n", lowered.alias("most")), comps, similarity), "buckets")
-    release(members)
+    crowd = members.where(F.col("size") >= CROWDED).groupBy(F.col("id").alias("doc_id"), "n").agg(F.min("least").alias("least"))
+    grams = sets.join(crowd, "doc_id").select(F.col("doc_id").alias("id"), "n", "least", F.explode("set").alias("gram"))
+    # written first, so that Spark can split the join
+    often = staged(grams.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1"), "grams")
+    held = grams.join(often, "gram").groupBy("id", "n", "least").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("held"))
+    need = F.ceil((F.col("n") + F.col("least")) * similarity[0] / (similarity[0] + similarity[1]))
+    first = F.slice("held", 1, F.greatest(F.size("held") - need + 1, F.lit(0)).cast("int"))
+    # from a pair's first common shingle on, no more than what is left in either order can be shared
+    rare = held.select(F.posexplode(first).alias("at", "x"), "id", "n", F.size("held").cast("long").alias("size"))
+    rare = rare.select(F.col("x.gram").alias("key"), "id", "n", (F.col("size") - F.col("at")).alias("most"))
+    rest = members.where(F.col("size") < CROWDED).select("key", "id", "n", "most")
+    out = staged(_mixed(rest.unionByName(rare), comps, similarity), "buckets")
+    release(members, often)
     return out
 
 
