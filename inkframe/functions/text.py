@@ -7,7 +7,7 @@ Patterns follow the rules of recognised Vietnamese text: the letter range U+00C0
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +42,11 @@ def spaced(column: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), r"(?U)\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it in `body` as often as needed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def without_controls(column: Column) -> Column:
     """Control and format characters deleted (tabs and line ends among them), then `spaced`."""
     return spaced(F.regexp_replace(F.coalesce(column, F.lit("")), r"[\p{Cc}\p{Cf}]", ""))
@@ -79,9 +84,13 @@ def digit_count(column: Column) -> Column:
     return _count(F.coalesce(column, F.lit("")), r"(?U)\d")
 
 
+def digits_of(words: Column) -> Column:
+    return F.length(F.regexp_replace(F.array_join(words, ""), r"(?U)\D", ""))
+
+
 def suspicious_digits(column: Column) -> Column:
     """Digits inside suspicious tokens."""
-    return F.length(F.regexp_replace(F.array_join(suspicious_tokens(column), ""), r"(?U)\D", ""))
+    return digits_of(suspicious_tokens(column))
 
 
 def digit_noise_rate(column: Column) -> Column:
@@ -118,19 +127,36 @@ def repeated_numbers(column: Column) -> Column:
     return F.concat(binary, F.array_except(F.regexp_extract_all(t, F.lit(r"(?U)\d{5,}"), F.lit(0)), binary))
 
 
+def repeated_count(column: Column) -> Column:
+    """How many repeated numbers a whole text has."""
+    return F.when(column.rlike(r"\p{Nd}{4}"), F.size(repeated_numbers(column))).otherwise(0)
+
+
 def is_garbage(column: Column) -> Column:
     """Empty, without letters and digits, mostly digits or punctuation, mostly capitals, or at most two characters."""
     t = F.regexp_replace(F.coalesce(column, F.lit("")), r"(?U)^\s+|\s+$", "")
-    letters, digits = _count(t, r"\p{L}"), _count(t, r"(?U)\d")
-    marks = _count(t, r"[^\p{L}\p{N}\s]")
-    parts = F.split(t, r"(?U)\s+")
-    caps = F.filter(parts, lambda x: (F.length(x) >= 2) & (x == F.upper(x)) & (x != F.lower(x)))
+
+    def capitals(t: Column) -> Column:
+        parts = F.split(t, r"(?U)\s+")
+        caps = F.filter(parts, lambda x: (F.length(x) >= 2) & (x == F.upper(x)) & (x != F.lower(x)))
+        # what has a lower case is of one of these classes, and each such word has one at least
+        signs = _count(t, r"[\p{Lu}\p{Lt}\p{Nl}\p{So}]")
+        return F.when(signs < 0.6 * (1 + _count(t, r"(?U)\s+")), F.lit(False)).otherwise(F.size(caps) / F.size(parts) > 0.65)
+
+    def judged(t: Column) -> Column:
+        digits = F.when(t.rlike(r"\p{Nd}"), _count(t, r"(?U)\d")).otherwise(0)
+        return let(F.array(_count(t, r"\p{L}"), digits), lambda n: _judged(t, n[0], n[1], capitals))
+
+    return let(t, judged)
+
+
+def _judged(t: Column, letters: Column, digits: Column, capitals: Callable[[Column], Column]) -> Column:
     return (
-        (F.length(t) <= 2)
-        | (letters + digits == 0)
-        | (digits / (letters + digits) > 0.55)
-        | (marks / F.length(t) > 0.35)
-        | ((F.size(caps) / F.size(parts) > 0.65) & (letters > 8))
+        F.when((F.length(t) <= 2) | (letters + digits == 0), F.lit(True))
+        .when(digits / (letters + digits) > 0.55, F.lit(True))
+        # marks are neither letters, numbers nor space: no more than what is left
+        .when((F.length(t) - letters - digits > 0.34 * F.length(t)) & (_count(t, r"[^\p{L}\p{N}\s]") / F.length(t) > 0.35), F.lit(True))
+        .otherwise((letters > 8) & capitals(t))
     )
 
 

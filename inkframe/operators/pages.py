@@ -69,16 +69,33 @@ def with_page_medians(boxes: DataFrame, page: str) -> DataFrame:
 
 
 def neighbour_clamp(boxes: DataFrame, page: str, *ties: str) -> DataFrame:
-    """Each box with its y range held off its neighbours in y order by a margin; rejected where little is left."""
-    order = Window.partitionBy(page).orderBy("y1", *ties)
-    b = with_page_medians(boxes, page)
-    margin = F.least(F.greatest(0.08 * F.col("median_height"), F.lit(2.0)), F.lit(8.0))
-    b = b.withColumns({"_prev": F.lag("y2").over(order), "_next": F.lead("y1").over(order), "_g": margin})
-    top = F.greatest(F.col("y1"), F.coalesce(F.col("_prev") + F.col("_g"), F.col("y1"))).cast("double")
-    bottom = F.least(F.col("y2"), F.coalesce(F.col("_next") - F.col("_g"), F.col("y2"))).cast("double")
-    b = b.withColumns({"clamped_y1": top, "clamped_y2": bottom})
-    left, height = F.col("clamped_y2") - F.col("clamped_y1"), F.col("y2") - F.col("y1")
-    return b.withColumn("rejected", (left <= 0) | (left < 0.6 * height)).drop("_prev", "_next", "_g")
+    """Each box with its y range held off its neighbours in order of centres by a margin.
+
+    A neighbour counts if it shares a quarter of the narrower width, or its centre is within one and a half median heights.
+    Where less than 0.6 of a box would be left, it is rejected and keeps its own bounds.
+    """
+    center = (F.col("y1") + F.col("y2")) / 2.0
+    b = with_page_medians(boxes.withColumn("_c", center), page)
+    order = Window.partitionBy(page).orderBy("_c", *ties)
+    median = F.greatest(F.col("median_height"), F.lit(1.0))
+    margin = F.least(F.greatest(0.08 * median, F.lit(2.0)), F.lit(8.0))
+    names = ("x1", "y1", "x2", "y2", "_c")
+    b = b.withColumns({"_p": F.lag(F.struct(*names)).over(order), "_n": F.lead(F.struct(*names)).over(order), "_m": median, "_g": margin})
+
+    def counts(o: Column) -> Column:
+        shared = F.greatest(F.lit(0), F.least(F.col("x2"), o["x2"]) - F.greatest(F.col("x1"), o["x1"]))
+        width = F.greatest(F.least(F.col("x2") - F.col("x1"), o["x2"] - o["x1"]), F.lit(1))
+        return o.isNotNull() & ((shared / width >= 0.25) | (F.abs(F.col("_c") - o["_c"]) <= 1.5 * F.col("_m")))
+
+    p, n = F.col("_p"), F.col("_n")
+    top = F.when(counts(p), F.greatest(F.col("y1"), p["y2"] + F.col("_g"))).otherwise(F.col("y1"))
+    bottom = F.when(counts(n), F.least(F.col("y2"), n["y1"] - F.col("_g"))).otherwise(F.col("y2"))
+    b = b.withColumns({"_t": top.cast("double"), "_b": bottom.cast("double")})
+    left = F.col("_b") - F.col("_t")
+    b = b.withColumn("rejected", (left <= 0) | (left < 0.6 * F.greatest(F.col("y2") - F.col("y1"), F.lit(1))))
+    kept = lambda c, own: F.when(F.col("rejected"), F.col(own).cast("double")).otherwise(F.col(c))
+    b = b.withColumns({"clamped_y1": kept("_t", "y1"), "clamped_y2": kept("_b", "y2")})
+    return b.drop("_c", "_p", "_n", "_m", "_g", "_t", "_b")
 
 
 def image_flags(boxes: DataFrame, page: str, *ties: str, tiny_width: float = 0.35, merged: float = 1.8, share: float = 0.35, aspects: tuple[int, int] = (3, 55)) -> DataFrame:

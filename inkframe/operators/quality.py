@@ -16,20 +16,24 @@ def as_lines(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def line_measures(lines: DataFrame, line: str = "line") -> DataFrame:
     """Counts that add up over lines, and the flags of each line."""
-    c = F.col(line)
-    out = lines.withColumn("n_suspicious", F.size(T.suspicious_tokens(c)))
+    t, digits = F.col("_spaced"), F.col("_digit")
+    # spaced once, and rules about digits and capitals only where there are any
+    out = lines.withColumn("_spaced", T.spaced(F.col(line)))
+    out = out.withColumn("_digit", t.rlike(r"\p{Nd}"))
+    out = out.withColumn("_suspicious", F.when(digits, T.suspicious_tokens(t)))
     out = out.withColumns(
         {
-            "n_digits": T.digit_count(c),
-            "n_noise_digits": F.when(F.col("n_suspicious") > 0, T.suspicious_digits(c)).otherwise(0),
-            "n_abnormal": T.abnormal_symbols(c),
-            "n_visible": T.visible_chars(c),
-            "n_capitals": F.size(T.capital_tokens(c)),
-            "n_tokens": F.size(T.tokens(c)),
-            "n_repeated": F.size(T.repeated_numbers(c)),
-            "is_garbage": T.is_garbage(c),
+            "n_suspicious": F.when(digits, F.size("_suspicious")).otherwise(0),
+            "n_digits": F.when(digits, T.digit_count(F.col(line))).otherwise(0),
+            "n_noise_digits": F.when(digits, T.digits_of(F.col("_suspicious"))).otherwise(0),
+            "n_abnormal": F.regexp_count(t, F.lit(rf"(?U)[^{T.EXPECTED}]")),
+            "n_visible": T.visible_chars(F.col(line)),
+            "n_capitals": F.when(t.rlike(f"[{T.CAPITALS}]{{2}}"), F.size(T.capital_tokens(t))).otherwise(0),
+            "n_tokens": F.when(t == "", 0).otherwise(1 + F.regexp_count(t, F.lit(" "))),
+            "n_repeated": F.when(digits, F.size(T.repeated_numbers(t))).otherwise(0),
+            "is_garbage": T.is_garbage(F.col(line)),
         }
-    )
+    ).drop("_spaced", "_digit", "_suspicious")
     rate = F.when(F.col("n_digits") > 0, F.col("n_noise_digits") / F.col("n_digits")).otherwise(0.0)
     odd = F.when(F.col("n_visible") > 0, F.col("n_abnormal") / F.col("n_visible")).otherwise(0.0)
     return out.withColumns(
@@ -48,8 +52,9 @@ def ratio(a: Column, b: Column) -> Column:
 def diagnostics(lines: DataFrame, *keys: str) -> DataFrame:
     """The thirteen page measures by `keys`, from measures of lines: sums first, so that partial sums are shuffled.
 
-    Repeated numbers aren't additive; those of the whole page are measured by `page_repeats`.
+    Repeated numbers aren't additive: `page_repeats` measures those of a whole page, here if lines carry it as `page_repeats`.
     """
+    repeats = [F.max("page_repeats").cast("long").alias("repeated_number_sequence_count")] if "page_repeats" in lines.columns else []
     s = lambda c: F.sum(F.col(c).cast("long"))
     sums = lines.groupBy(*keys).agg(
         F.count("*").alias("line_count"),
@@ -64,6 +69,7 @@ def diagnostics(lines: DataFrame, *keys: str) -> DataFrame:
         s("n_capitals").alias("uppercase_garbage_token_count"),
         s("n_tokens").alias("_tokens"),
         s("is_hallucinated").alias("hallucinated_line_count"),
+        *repeats,
     )
     c = F.col
     return sums.select(
@@ -78,6 +84,7 @@ def diagnostics(lines: DataFrame, *keys: str) -> DataFrame:
         "suspicious_digit_token_count",
         "uppercase_garbage_token_count",
         ratio(c("uppercase_garbage_token_count"), c("_tokens")).alias("uppercase_garbage_token_rate"),
+        *(["repeated_number_sequence_count"] if repeats else []),
         "hallucinated_line_count",
         ratio(c("hallucinated_line_count"), c("line_count")).alias("hallucinated_line_rate"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkframe.functions import boxes as B
 from inkframe.functions import edits as E
 from inkframe.functions import text as T
-from inkframe.operators import candidates, datasets, evaluation, experiments, pages, papers, quality, spelling
+from inkframe.operators import candidates, datasets, evaluation, experiments, filters, pages, papers, quality, spelling
 from inkframe.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,16 +70,21 @@ _MEASURED = (
 )
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+def _measured(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", *more)
     return quality.line_measures(quality.as_lines(docs))
 
 
 _RATES = ("digit_noise_rate", "garbage_text_ratio", "high_digit_noise_line_rate", "abnormal_symbol_rate", "uppercase_garbage_token_rate", "hallucinated_line_rate")
 
 
-def _diagnosed_sql(key: str) -> str:
-    return f"""WITH {_MEASURED} SELECT {key}, count(*) AS line_count, (sum(length(line)) + count(*) - 1)::BIGINT AS char_count,
+#: Numbers that repeat in a whole page.
+_REPEATS = r""", paged AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+ repeats AS (SELECT doc_id, len(regexp_extract_all(t, '[01]{4,}')) + len(list_filter(list_distinct(regexp_extract_all(t, '\d{5,}')), lambda x: NOT list_contains(regexp_extract_all(t, '[01]{4,}'), x))) AS n FROM paged)"""
+
+
+def _diagnosed_sql(key: str, repeats: str = "") -> str:
+    return f"""WITH {_MEASURED}{_REPEATS} SELECT {key}, {repeats}count(*) AS line_count, (sum(length(line)) + count(*) - 1)::BIGINT AS char_count,
       round(CASE WHEN sum(n_digits) > 0 THEN sum(n_noise_digits) / sum(n_digits) ELSE 0 END, 6)::DOUBLE AS digit_noise_rate,
       round(avg(is_garbage::INT), 6) AS garbage_text_ratio, round(avg((noise_rate >= 0.20)::INT), 6) AS high_digit_noise_line_rate,
       round(CASE WHEN sum(n_visible) > 0 THEN sum(n_abnormal) / sum(n_visible) ELSE 0 END, 6)::DOUBLE AS abnormal_symbol_rate, sum(n_abnormal)::BIGINT AS abnormal_symbol_count,
@@ -89,7 +94,8 @@ def _diagnosed_sql(key: str) -> str:
 
 
 def _diagnosed(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    out = quality.diagnostics(_measured(spark, sf_dir), key)
+    repeats = [T.repeated_count(F.col("text")).alias("page_repeats")] if key == "doc_id" else []
+    out = quality.diagnostics(_measured(spark, sf_dir, *repeats), key)
     return out.withColumns({c: r6(c) for c in _RATES})
 
 
@@ -98,7 +104,7 @@ def text_quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnosed(spark, sf_dir, "source")
 
 
-@query(_diagnosed_sql("doc_id"))
+@query(_diagnosed_sql("doc_id", "(SELECT max(n) FROM repeats WHERE repeats.doc_id = measured.doc_id)::BIGINT AS repeated_number_sequence_count, "))
 def page_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnosed(spark, sf_dir, "doc_id")
 
@@ -152,20 +158,15 @@ def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- prediction pairs ----------------------------------------------------------------------------------------------
 
-_PAIRS = "pairs AS (SELECT conv_id, turn, role, substr(text, 1, 60) AS ref, substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 1, 60) AS pred FROM conversations)"
-_CODE = "coalesce(array_to_string(list_transform(string_split({0}, ''), lambda ch: chr((32 + list_position(al, ch))::INT)), ''), '')"
-_WCODE = "coalesce(array_to_string(list_transform({0}, lambda w: chr((32 + list_position(wal, w))::INT)), ''), '')"
-_ERRORS = (
+_PAIRS = "pairs AS (SELECT conv_id, turn, role, text AS ref, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pred FROM conversations)"
+_CODE = "coalesce(array_to_string(list_transform(string_split({0}, ''), lambda ch: chr(list_position(al, ch)::INT)), ''), '')"
+#: Distances are of bytes here, so the characters of a pair (127 kinds at most) are written as characters of one byte.
+_CHARS = (
     _PAIRS
     + rf""", normed AS (SELECT conv_id, turn, role, trim(regexp_replace(ref, '\s+', ' ', 'g')) AS r, trim(regexp_replace(pred, '\s+', ' ', 'g')) AS p FROM pairs WHERE pred IS NOT NULL),
- lists AS (SELECT *, list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(p, ' '), lambda x: x <> '') AS pw,
-   list_distinct(list_concat(string_split(r, ''), string_split(p, ''))) AS al FROM normed),
- words AS (SELECT *, list_distinct(list_concat(rw, pw)) AS wal FROM lists),
- dist AS (SELECT conv_id, turn, role, r, p, len(rw) AS ref_words, len(pw) AS pred_words, length(r) AS ref_chars, length(p) AS pred_chars,
-   CASE WHEN r = '' THEN length(p) WHEN p = '' THEN length(r) ELSE levenshtein({_CODE.format('r')}, {_CODE.format('p')}) END AS char_edits,
-   CASE WHEN len(rw) = 0 THEN len(pw) WHEN len(pw) = 0 THEN len(rw) ELSE levenshtein({_WCODE.format('rw')}, {_WCODE.format('pw')}) END AS word_edits FROM words),
- errors AS (SELECT *, CASE WHEN ref_chars > 0 THEN char_edits / ref_chars WHEN pred_chars > 0 THEN 1.0 ELSE 0.0 END AS cer,
-   CASE WHEN ref_words > 0 THEN word_edits / ref_words WHEN pred_words > 0 THEN 1.0 ELSE 0.0 END AS wer, r = p AS exact FROM dist)"""
+ lists AS (SELECT *, list_distinct(list_concat(string_split(r, ''), string_split(p, ''))) AS al FROM normed),
+ errors AS (SELECT conv_id, turn, role, length(r) AS ref_chars, length(p) AS pred_chars,
+   CASE WHEN r = '' THEN length(p) WHEN p = '' THEN length(r) ELSE levenshtein({_CODE.format('r')}, {_CODE.format('p')}) END AS char_edits FROM lists)"""
 )
 
 
@@ -175,31 +176,23 @@ def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where("pred is not null").select("conv_id", "turn", "role", "ref", "pred")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs as the SQL has them: the first 60 characters of both sides."""
-    return _whole_pairs(spark, sf_dir).withColumns({c: F.substring(c, 1, 60) for c in ("ref", "pred")})
-
-
-@query(f"WITH {_ERRORS} SELECT conv_id, turn, char_edits::BIGINT AS char_edits, word_edits::BIGINT AS word_edits, round(cer, 6)::DOUBLE AS cer, round(wer, 6)::DOUBLE AS wer FROM errors")
+@query()
 def cer_wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evaluation.pair_errors(_pairs(spark, sf_dir), "pred", "ref")
+    e = evaluation.pair_errors(_whole_pairs(spark, sf_dir), "pred", "ref")
     return e.select("conv_id", "turn", F.col("char_edits").cast("long").alias("char_edits"), F.col("word_edits").cast("long").alias("word_edits"), r6("cer").alias("cer"), r6("wer").alias("wer"))
 
 
-@query(
-    f"""WITH {_ERRORS} SELECT role, count(*) AS n, round(avg(cer), 6) AS macro_cer, round(avg(wer), 6) AS macro_wer, round(sum(char_edits) / sum(ref_chars), 6)::DOUBLE AS micro_cer,
-    round(sum(word_edits) / sum(ref_words), 6)::DOUBLE AS micro_wer, count(*) FILTER (exact) AS exact_matches FROM errors GROUP BY role"""
-)
+@query()
 def error_summary_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evaluation.error_summary(evaluation.pair_errors(_pairs(spark, sf_dir), "pred", "ref"), "role")
+    e = evaluation.error_summary(evaluation.pair_errors(_whole_pairs(spark, sf_dir), "pred", "ref"), "role")
     return e.withColumns({c: r6(c) for c in ("macro_cer", "macro_wer", "micro_cer", "micro_wer")})
 
 
-_SIM = _ERRORS + ", sim AS (SELECT conv_id, turn, CASE WHEN greatest(ref_chars, pred_chars) > 0 THEN 1 - char_edits / greatest(ref_chars, pred_chars) ELSE 1.0 END AS similarity FROM errors)"
+_SIM = _CHARS + ", sim AS (SELECT conv_id, turn, CASE WHEN greatest(ref_chars, pred_chars) > 0 THEN 1 - char_edits / greatest(ref_chars, pred_chars) ELSE 1.0 END AS similarity FROM errors)"
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir)
+    p = _whole_pairs(spark, sf_dir)
     return p.select("conv_id", "turn", E.soft_match(T.spaced(F.col("ref")), T.spaced(F.col("pred"))).alias("similarity"))
 
 
@@ -289,11 +282,11 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT lower(substr(text, 1, 3)) AS k FROM documents), b AS (SELECT DISTINCT lower(substr(text, 1, 3)) AS k FROM benchmark)
+    """WITH a AS (SELECT DISTINCT md5(unnest(string_split(text, chr(10)))) AS k FROM documents), b AS (SELECT DISTINCT md5(unnest(string_split(text, chr(10)))) AS k FROM benchmark)
     SELECT 'both' AS part, k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'documents', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'benchmark', k FROM (SELECT k FROM b EXCEPT SELECT k FROM a)"""
 )
 def union_overlap_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (table(spark, sf_dir, n).select(F.lower(F.substring("text", 1, 3)).alias("k")).distinct() for n in ("documents", "benchmark"))
+    a, b = (table(spark, sf_dir, n).select(F.explode(F.split("text", "\n")).alias("k")).select(F.md5("k").alias("k")).distinct() for n in ("documents", "benchmark"))
     parts = [("both", a.intersect(b)), ("documents", a.subtract(b)), ("benchmark", b.subtract(a))]
     out = [d.select(F.lit(n).alias("part"), "k") for n, d in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -364,9 +357,14 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_BOXES}, {_MEDIANS}, n AS (SELECT *, lag(y2) OVER w AS prev, lead(y1) OVER w AS nxt, least(greatest(0.08 * mh, 2.0), 8.0) AS g FROM med WINDOW w AS (PARTITION BY page ORDER BY y1, y2, x1, x2)),
-    c AS (SELECT *, greatest(y1, coalesce(prev + g, y1))::DOUBLE AS c1, least(y2, coalesce(nxt - g, y2))::DOUBLE AS c2 FROM n)
-    SELECT page, x1, y1, x2, y2, round(c1, 6) AS clamped_y1, round(c2, 6) AS clamped_y2, (c2 - c1 <= 0 OR c2 - c1 < 0.6 * (y2 - y1)) AS rejected FROM c"""
+    f"""WITH {_BOXES}, {_MEDIANS}, m AS (SELECT *, (y1 + y2) / 2.0::DOUBLE AS c, greatest(mh, 1) AS m FROM med),
+    n AS (SELECT *, least(greatest(0.08::DOUBLE * m, 2.0), 8.0) AS g, lag(x1) OVER w AS p1, lag(x2) OVER w AS p2, lag(y2) OVER w AS py, lag(c) OVER w AS pc,
+      lead(x1) OVER w AS n1, lead(x2) OVER w AS n2, lead(y1) OVER w AS ny, lead(c) OVER w AS nc FROM m WINDOW w AS (PARTITION BY page ORDER BY c, y2, x1, x2)),
+    e AS (SELECT *, pc IS NOT NULL AND (greatest(0, least(x2, p2) - greatest(x1, p1)) / greatest(least(x2 - x1, p2 - p1), 1)::DOUBLE >= 0.25::DOUBLE OR abs(c - pc) <= 1.5::DOUBLE * m) AS pe,
+      nc IS NOT NULL AND (greatest(0, least(x2, n2) - greatest(x1, n1)) / greatest(least(x2 - x1, n2 - n1), 1)::DOUBLE >= 0.25::DOUBLE OR abs(c - nc) <= 1.5::DOUBLE * m) AS ne FROM n),
+    t AS (SELECT *, (CASE WHEN pe THEN greatest(y1, py + g) ELSE y1 END)::DOUBLE AS c1, (CASE WHEN ne THEN least(y2, ny - g) ELSE y2 END)::DOUBLE AS c2 FROM e),
+    r AS (SELECT *, c2 - c1 <= 0 OR c2 - c1 < 0.6::DOUBLE * greatest(y2 - y1, 1) AS rejected FROM t)
+    SELECT page, x1, y1, x2, y2, round(CASE WHEN rejected THEN y1::DOUBLE ELSE c1 END, 6) AS clamped_y1, round(CASE WHEN rejected THEN y2::DOUBLE ELSE c2 END, 6) AS clamped_y2, rejected FROM r"""
 )
 def neighbour_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pages.neighbour_clamp(_boxes(spark, sf_dir), "page", "y2", "x1", "x2")
@@ -546,8 +544,8 @@ def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, 'q' || (page_id % 7) AS query, length(html) AS citation_count, CASE WHEN page_id % 3 = 0 THEN '' ELSE substr(html, 1, 20) END AS abstract, url FROM pages)
-    SELECT host, array_to_string(list_sort(list_distinct(list(query))), ',') AS queries, max(citation_count) AS citation_count, arg_min(abstract, page_id) FILTER (abstract <> '') AS abstract, arg_min(url, page_id) FILTER (url <> '') AS pdf_url FROM r GROUP BY host"""
+    """WITH r AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, 'q' || (page_id % 7) AS query, length(html) AS citation_count, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS abstract, url FROM pages)
+    SELECT host, array_to_string(list_sort(list_distinct(list(query))), ',') AS queries, max(citation_count) AS citation_count, md5(arg_min(abstract, page_id) FILTER (abstract <> '')) AS abstract, arg_min(url, page_id) FILTER (url <> '') AS pdf_url FROM r GROUP BY host"""
 )
 def paper_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
@@ -556,10 +554,10 @@ def paper_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"),
         F.concat(F.lit("q"), F.pmod("page_id", F.lit(7)).cast("string")).alias("query"),
         F.length("html").cast("long").alias("citation_count"),
-        F.when(F.pmod("page_id", F.lit(3)) == 0, "").otherwise(F.substring("html", 1, 20)).alias("abstract"),
+        F.when(F.pmod("page_id", F.lit(3)) == 0, "").otherwise(F.col("html")).alias("abstract"),
         F.col("url").alias("pdf_url"),
     )
-    return papers.merge_records(records, "host", "page_id").withColumn("queries", F.array_join("queries", ","))
+    return papers.merge_records(records, "host", "page_id").withColumn("queries", F.array_join("queries", ",")).withColumn("abstract", F.md5("abstract"))
 
 
 @query(
@@ -573,12 +571,12 @@ def json_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- candidates and words ----------------------------------------------------------------------------------------------------
 
-_GRAM = r"toks AS (SELECT list_concat(list_concat(['<s>'], list_filter(string_split_regex(lower(trim(text)), '\s+'), lambda x: x <> '')), ['</s>']) AS w FROM benchmark)"
+_GRAM = r"toks AS (SELECT list_concat(list_concat(['<s>'], list_filter(string_split_regex(lower(trim(text)), '\s+'), lambda x: x <> '')), ['</s>']) AS w FROM documents)"
 
 
 @query(f"WITH {_GRAM}, g AS (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS gram FROM toks WHERE len(w) >= 3) SELECT gram, count(*) AS n FROM g GROUP BY gram")
 def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.ngrams(table(spark, sf_dir, "benchmark"), "text", 3)
+    return candidates.ngrams(table(spark, sf_dir, "documents"), "text", 3)
 
 
 @query()
@@ -655,3 +653,125 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = i.where("l_shipdate >= timestamp '1995-01-01'").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey"))
     rows = rows.join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"))  # a fixed list of nations
     return rows.groupBy("n_name", "c_mktsegment").agg(F.count_distinct("o_orderkey").alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# ---- filters, top lists and summaries ------------------------------------------------------------------------------------
+
+_REASON = "CASE WHEN x2 - x1 < 120 OR y2 - y1 < 24 THEN 'too_small' WHEN (x2 - x1) / (y2 - y1)::DOUBLE < 4 OR (x2 - x1) / (y2 - y1)::DOUBLE > 20 THEN 'bad_aspect' END"
+
+
+@query(f"WITH {_BOXES} SELECT {_REASON} AS reason, count(*) AS n FROM boxes WHERE {_REASON} IS NOT NULL GROUP BY 1")
+def crop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = filters.crop_reason(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), (120, 24), (4, 20))
+    return filters.split_by_reason(_boxes(spark, sf_dir), reason)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_BOXES} SELECT page, array_to_string(list_sort(list_filter([CASE WHEN y2 - y1 < 30 THEN 'too_thin' END, CASE WHEN (x2 - x1) / (y2 - y1)::DOUBLE > 15 THEN 'extreme_aspect' END], lambda f: f IS NOT NULL)), ',') AS flags, count(*) AS n FROM boxes GROUP BY 1, 2")
+def crop_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filters.quality_flags(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), 30, 15)
+    return _boxes(spark, sf_dir).groupBy("page", F.array_join(flags, ",").alias("flags")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT event_type, count(*) AS n, count(*) FILTER (coalesce(value < 20, true)) AS dropped_value, count(*) FILTER (value >= 20 AND user_id < 30) AS dropped_user_id, count(*) FILTER (value >= 20 AND user_id >= 30) AS kept
+    FROM events GROUP BY event_type"""
+)
+def confidence_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.floors(table(spark, sf_dir, "events"), "event_type", value=20, user_id=30)
+
+
+@query(r"SELECT page_id, coalesce(trunc(try_cast(regexp_extract(url, '([0-9.]+)', 1) AS DOUBLE))::BIGINT, -1) AS whole, coalesce(try_cast(regexp_extract(url, '([0-9.]+)', 1) AS DOUBLE), 0.5) AS part FROM pages")
+def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract("url", "([0-9.]+)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", filters.parsed_int(found, -1).alias("whole"), filters.parsed_float(found, 0.5).alias("part"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, len(string_split(text, chr(10))) AS lines, nullif(doc_id % 9, 4) AS expected FROM documents)
+    SELECT doc_id, abs(lines - expected)::BIGINT AS error, round(abs(lines - expected) / greatest(expected, 1), 6)::DOUBLE AS normalized FROM c"""
+)
+def line_count_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, expected = F.size(F.split("text", "\n")), F.nullif(F.pmod("doc_id", F.lit(9)), F.lit(4).cast("long"))
+    d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"), expected.alias("expected"))
+    normal = filters.normalized_line_count_error(F.col("lines"), F.col("expected"))
+    return d.select("doc_id", filters.line_count_error(F.col("lines"), F.col("expected")).cast("long").alias("error"), r6(normal).alias("normalized"))
+
+
+@query(f"WITH {_SIM}, s AS (SELECT conv_id, turn, round(similarity, 6)::DOUBLE AS similarity FROM sim) SELECT * FROM s ORDER BY abs(similarity - 0.2::DOUBLE), conv_id, turn LIMIT 10")
+def nearest_to_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.nearest_to(_similar(spark, sf_dir).withColumn("similarity", r6("similarity")), "similarity", 0.2, 10, "conv_id", "turn")
+
+
+@query(f"WITH {_SIM}, s AS (SELECT conv_id, turn, round(similarity, 6)::DOUBLE AS similarity FROM sim) SELECT * FROM s ORDER BY similarity, conv_id, turn LIMIT 10")
+def least_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.top(_similar(spark, sf_dir).withColumn("similarity", r6("similarity")), 10, F.col("similarity"), F.col("conv_id"), F.col("turn"))
+
+
+@query(
+    """SELECT user_id, round(avg(value), 6) AS mean_score, min(event_id % 7)::BIGINT AS min_lines, round(avg(event_id % 7), 6) AS mean_lines FROM events GROUP BY user_id
+    ORDER BY avg(value) DESC, min(event_id % 7) DESC, avg(event_id % 7) DESC, user_id LIMIT 5"""
+)
+def best_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("lines", F.pmod("event_id", F.lit(7)).cast("long"))
+    return filters.trials(e, "user_id", "value", "lines").withColumns({c: r6(c) for c in ("mean_score", "mean_lines")})
+
+
+@query("SELECT page_id, length(html)::BIGINT AS citations, (2000 + page_id % 25)::BIGINT AS year FROM pages ORDER BY citations DESC, year DESC, page_id LIMIT 20")
+def ranked_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("citations"), (F.pmod("page_id", F.lit(25)) + 2000).cast("long").alias("year"))
+    return filters.top(p, 20, F.desc("citations"), F.desc("year"), F.col("page_id"))
+
+
+@query("SELECT documents.doc_id, coalesce(quality, -1)::BIGINT AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filters.with_results(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "quality", -1)
+    return out.select("doc_id", F.col("quality").cast("long").alias("quality"))
+
+
+@query(f"WITH {_BOXES} SELECT page, x1, y1, x2, y2, round(sum(y1) OVER (PARTITION BY page ORDER BY y1, x1, x2, y2 ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6)::DOUBLE AS smooth FROM boxes")
+def box_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _boxes(spark, sf_dir).withColumn("_o", F.struct("y1", "x1", "x2", "y2"))
+    return filters.smoothed(b, "page", "_o", "y1").withColumn("smooth", r6("smooth")).drop("_o")
+
+
+@query(
+    r"""WITH t AS (SELECT regexp_replace(coalesce(text, ''), '[\x{0}-\x{8}\x{E}-\x{1F}\x{7F}-\x{9F}\p{Cf}]', '', 'g') AS b, coalesce(text, '') AS t FROM documents),
+    s AS (SELECT *, trim(regexp_replace(b, '\s+', ' ', 'g')) AS s FROM t) SELECT count(*) AS n, count(*) FILTER (b <> t) AS ctrl_removed, count(*) FILTER (s <> b) AS ws_changed, count(*) FILTER (length(s) < 60) AS too_short FROM s"""
+)
+def cleaning_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.cleaning_counters(table(spark, sf_dir, "documents"), "text", 60)
+
+
+@query(
+    """WITH c AS (SELECT lang, source, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2)
+    SELECT lang, sum(n)::BIGINT AS n, '{' || string_agg('"' || source || '":' || n, ',' ORDER BY source) || '}' AS sources FROM c GROUP BY lang"""
+)
+def split_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.split_metadata(table(spark, sf_dir, "documents").where("lang is not null and source is not null"), "lang", "source")
+
+
+@query(
+    """SELECT event_type, count(*) AS n, count(*) FILTER (value < 5) AS error_count, round(avg(value) FILTER (NOT value < 5), 6) AS mean_value, round(sum(value) FILTER (NOT value < 5), 4) AS sum_value FROM events GROUP BY event_type"""
+)
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filters.run_metrics(table(spark, sf_dir, "events"), "event_type", {"value": "value"}, F.col("value") < 5)
+    return out.withColumns({"mean_value": r6("mean_value"), "sum_value": F.round("sum_value", 4)})
+
+
+@query(
+    f"""WITH {_HALVES}, d AS (SELECT a.user_id, a.v AS bv, b.v AS av, CASE WHEN b.g - a.g + 0.5 * (b.v - a.v) < -0.01 THEN 'improved' WHEN b.g - a.g + 0.5 * (b.v - a.v) > 0.01 THEN 'worsened' ELSE 'no_change' END AS verdict FROM a JOIN b ON a.user_id = b.user_id)
+    SELECT count(*) AS n, round(avg((user_id % 3 = 0)::INT), 6) AS applied_rate, count(*) FILTER (verdict = 'improved') AS improved, count(*) FILTER (verdict = 'worsened') AS worsened, count(*) FILTER (verdict = 'no_change') AS no_change,
+    round(avg(bv), 6) AS mean_before_v, round(avg(av), 6) AS mean_after_v, round(avg(av) - avg(bv), 6) AS delta_v FROM d"""
+)
+def rectification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    half = lambda k, s: e.where(F.pmod("event_id", F.lit(2)) == k).groupBy("user_id").agg(F.avg("value").alias(f"{s}_v"), F.avg((F.col("event_type") == "click").cast("double")).alias(f"{s}_g"))
+    d = half(0, "before").join(half(1, "after"), "user_id")
+    verdict = quality.verdict(F.lit(0.0), F.col("after_v") - F.col("before_v"), F.col("after_g") - F.col("before_g"))
+    out = filters.before_after_summary(d, F.pmod("user_id", F.lit(3)) == 0, verdict, ["v"])
+    return out.withColumns({c: r6(c) for c in ("applied_rate", "mean_before_v", "mean_after_v")})
+
+
+@query(f"WITH {_BOXES} SELECT page, count(*) AS n, median(y2 - y1) AS median_height, round(600 / greatest(median(y2 - y1), 1), 6) AS estimated_rows, round(count(*) / (600 / greatest(median(y2 - y1), 1)), 6) AS coverage FROM boxes GROUP BY page")
+def estimated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.estimated_rows(_boxes(spark, sf_dir), "page", 600).withColumns({c: r6(c) for c in ("estimated_rows", "coverage")})

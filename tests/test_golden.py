@@ -198,3 +198,26 @@ def test_streaming(spark, tmp_path):
     ingest.upsert_to(stream, str(tmp_path / "out"), "page", str(tmp_path / "cp")).awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("line_index").select("is_hallucinated").collect()
     assert [r[0] for r in got] == [True, False]
+
+
+def test_clamp_keeps_rejected_and_passes_over_far_neighbours(spark):
+    rows = [(1, 0, 0, 100, 30), (1, 0, 10, 100, 40), (1, 300, 200, 400, 230), (2, 0, 0, 100, 30), (2, 0, 28, 100, 58)]
+    got = {(r["page"], r["y1"]): (r["clamped_y1"], r["clamped_y2"], r["rejected"]) for r in pages.neighbour_clamp(spark.createDataFrame(rows, "page int, x1 int, y1 int, x2 int, y2 int"), "page").collect()}
+    # too little is left between the two: both are rejected and keep their bounds
+    assert got[1, 0] == (0.0, 30.0, True) and got[1, 10] == (10.0, 40.0, True)
+    # no shared width, and centres too far apart: no neighbour
+    assert got[1, 200] == (200.0, 230.0, False)
+    assert got[2, 0] == (0.0, 25.6, False) and got[2, 28] == (32.4, 58.0, False)
+
+
+def test_filters(spark):
+    from inkframe.operators import filters
+
+    crops = spark.createDataFrame([(1, 100, 20), (2, 40, 20), (3, 100, 90), (4, None, 5), (5, 4000, 20)], "id int, w int, h int")
+    kept, gone = filters.split_by_reason(crops, filters.crop_reason(F.col("w"), F.col("h")))
+    assert [r["id"] for r in kept.collect()] == [1]
+    assert {r["id"]: r["reason"] for r in gone.collect()} == {2: "too_small", 3: "bad_aspect", 4: "invalid_image", 5: "bad_aspect"}
+    assert one(spark, filters.parsed_int(F.col("t"), 7), t="x") == 7 and one(spark, filters.parsed_int(F.col("t")), t="12.9") == 12
+    assert one(spark, filters.parsed_float(F.col("t"), 0.5), t="") == 0.5
+    assert one(spark, filters.normalized_line_count_error(F.col("p"), F.col("e")), p=3, e=0) == 3
+    assert one(spark, filters.picked(F.lit(None), F.col("t")), t="m") == "m"
