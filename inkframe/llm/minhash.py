@@ -151,20 +151,6 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id and set, its distinct shingle hashes."""
-    small_batches(docs.sparkSession)
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for part in batches(frames, 2_000_000):
-            h, n = shingles([t.encode() for t in part["text"]])
-            yield pd.DataFrame({"doc_id": part["doc_id"], "set": np.split(h.view(np.int64), np.cumsum(n)[:-1])})
-
-    return keyed(docs).mapInPandas(run, "doc_id string, set array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, parts: tuple[int, int]) -> DataFrame:
     """Those pairs (u, v) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(
@@ -210,9 +196,21 @@ def link(docs: DataFrame, similarity: tuple[int, int] = (75, 100)) -> tuple[Data
 
 
 def _sets_of_classes(docs: DataFrame, asked: DataFrame, classed: DataFrame) -> DataFrame:
+    """Per class asked for: doc_id and set, its distinct shingle hashes. Texts are dealt once, sets aren't dealt here."""
+    small_batches(docs.sparkSession)
     classes = classed.where("doc_id = rep").select("doc_id", "n_shingles").distinct().join(asked.withColumnRenamed("id", "doc_id"), "doc_id")
-    texts = docs.select("doc_id", "text").join(classes.select("doc_id").distinct(), "doc_id")
-    return sets_of(texts).join(classes, "doc_id").where("n_shingles = size(set)").select("doc_id", "set")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(classes, "doc_id")
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for part in batches(frames, 2_000_000):
+            h, n = shingles([t.encode() for t in part["text"]])
+            out = pd.DataFrame({"doc_id": part["doc_id"], "set": np.split(h.view(np.int64), np.cumsum(n)[:-1])})
+            # of texts that share an id, those of the class
+            yield out[n == part["n_shingles"].to_numpy()]
+
+    return texts.mapInPandas(run, "doc_id long, set array<long>")
 
 
 def _leaders(members: DataFrame, count: int) -> DataFrame:
