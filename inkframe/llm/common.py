@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -111,8 +112,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def batches(frames: Iterator, limit: int = 4_000_000) -> Iterator:
+_TRIMMED: dict[str, object] = {}
+
+
+def trim_worker() -> None:
+    """Hand what earlier tasks of this Python worker have freed back to the system, once a task.
+
+    Workers live on from stage to stage, and allocators keep freed memory: without this, a stage starts with the peak of
+    those before it. Where the C library can't do it, nothing happens.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    now = context.taskAttemptId() if context else None
+    if now is None or _TRIMMED.get("task") == now:
+        return
+    _TRIMMED["task"] = now
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def batches(frames: Iterator, limit: int = 2_000_000) -> Iterator:
     """Slices of pandas frames with a `text` column, each of about `limit` characters at most (one row at least)."""
+    trim_worker()
     for frame in frames:
         sizes = frame["text"].str.len().fillna(0).to_numpy().astype(np.int64)
         if not len(sizes):

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from inkframe.llm.common import batches, keyed, small_batches, staged, unkeyed
 
 CAPACITY = 2048
-#: Words kept in a worker's memory; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
+#: Words kept in a worker's memory; beyond it the memory starts anew. Capitals and marks after a word aren't kept, as they cost little.
+REMEMBERED = 700_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED = 200_000
 
@@ -66,9 +66,12 @@ class Words:
         stems = {s for _, s, _ in simple}.union({m for _, _, m in simple}, rest)
         self._learn(list(stems.difference(self.known)))
         known = self.known
-        for w, s, m in simple:
-            known[w] = known[s] + known[m]
-        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        cheap = {w: known[s] + known[m] for w, s, m in simple if w != s}
+        known.update(cheap)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        for w in cheap:
+            del known[w]
+        return out
 
 
 _WORDS: dict[str, Words] = {}
