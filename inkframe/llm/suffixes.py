@@ -13,8 +13,9 @@ positions with one anchor, 60 to 90 bytes on average. The corpus is dealt by anc
 3. blocks of anchors with more than `CROWD` kinds are cut finer, into pieces keyed by the bytes that all their strings share,
    until no more than `CROWD` kinds have a key; these go into the same indexes.
 
-Texts leave the scan once, to meet the marks. Defined results: a null text counts as empty; texts under `LENGTH` bytes keep
-everything; rows that repeat are documents too, so long enough ones lose everything; doc_id may be null or repeat.
+Texts are dealt twice, to hand out the bytes of open blocks and to meet the marks, and are not written between jobs. Defined
+results: a null text counts as empty; texts under `LENGTH` bytes keep everything; rows that repeat are documents too, so long
+enough ones lose everything; doc_id may be null or repeat.
 """
 
 from __future__ import annotations
@@ -207,34 +208,24 @@ def _occurrences(docs: DataFrame, whole: bool) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long")) if whole else out
 
 
-def _meet(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Each document with its marks: finished, or, where blocks are open, with their bytes and its text."""
+def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The blocks asked for, with their bytes. Only these leave the texts: no text is written here."""
 
     def run(frames: Iterator) -> Iterator:
         for part in batches(frames, 1_000_000):
             rows = []
             for doc, th, text, asks in zip(part["doc_id"], part["th"], part["text"], part["asks"], strict=True):
                 data = text.encode()
-                asks = [] if asks is None else list(asks)
-                marks = [x["at"] for x in asks if x["crowd"] == 0]
-                open_, ctx = False, []
                 for x in asks:
-                    if x["crowd"]:
-                        a, n = divmod(x["at"], 256)
-                        open_ |= x["single"]
-                        ctx.append({"anchor": x["anchor"], "at": x["at"], "single": x["single"], "crowd": x["crowd"], "bytes": data[a : a + n + LENGTH - 1]})
-                n_bytes, gone, spans, sha, _ = _finished(data, np.array(marks, np.int64))
-                rows.append((doc, th, text if open_ else None, marks, n_bytes, gone, spans, sha, ctx))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "text", "settled", "n_bytes", "n_removed", "n_spans", "kept_sha256", "contexts"])
-
-    a, b = _rows(docs).withColumn("doc_id", F.col("doc_id").cast("long")).alias("a"), wanted.alias("b")
-    met = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.th = b.th"), "left")
-    met = met.select(F.col("a.doc_id").cast("string").alias("doc_id"), "a.th", "a.text", "b.asks")
-    schema = (
-        "doc_id string, th long, text string, settled array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-        "contexts array<struct<anchor:long,at:long,single:boolean,crowd:int,bytes:binary>>"
-    )
-    return met.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+                    a, n = divmod(x["at"], 256)
+                    rows.append((doc, th, x["anchor"], x["at"], x["single"], x["crowd"], data[a : a + n + LENGTH - 1]))
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "anchor", "at", "single", "crowd", "bytes"])
+
+    asks = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "anchor", "single", "crowd")).alias("asks"))
+    a, b = _rows(docs).withColumn("doc_id", F.col("doc_id").cast("long")).alias("a"), asks.alias("b")
+    met = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.th = b.th")).select(F.col("a.doc_id").cast("string").alias("doc_id"), "a.th", "a.text", "b.asks")
+    out = met.mapInPandas(run, "doc_id string, th long, anchor long, at long, single boolean, crowd int, bytes binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _indexed(contexts: DataFrame) -> DataFrame:
@@ -309,13 +300,14 @@ def _cut(contexts: DataFrame, size: int) -> DataFrame:
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _uncrowded(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contexts of crowded anchors, cut finer and finer until those that can match fit an index: (marks found by counts, contexts).
+def _uncrowded(contexts: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Contexts of crowded anchors, cut finer and finer until those that can match fit an index: (marks found by counts, contexts,
+    the tables that both read).
 
     Equal pieces are one kind, and kinds seen twice are repeated throughout. Pieces of one start with one key are of one kind,
     so no crowd is left after the last cut.
     """
-    marks, ready = [], []
+    marks, ready, written = [], [], []
     kind = ["anchor", "ga", "gb"]
     contexts = contexts.withColumn("phase", F.lit(-1))
     for size in PIECES:
@@ -330,16 +322,17 @@ def _uncrowded(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
         groups = staged(groups.select("anchor", "n"), "groups")
         here = staged(kinds.join(groups, "anchor").drop("c", "ga", "gb"), "contexts")
         release(pieces, kinds, groups)
+        written += [marks[-1], here]
         ready.append(here.where(F.col("n") <= CROWD))
         contexts = here.where(F.col("n") > CROWD)
         if contexts.isEmpty():
             break
     columns = ["doc_id", "th", "anchor", "at", "single", "bytes"]
-    return reduce(DataFrame.unionByName, marks), reduce(DataFrame.unionByName, (x.select(columns) for x in ready))
+    return reduce(DataFrame.unionByName, marks), reduce(DataFrame.unionByName, (x.select(columns) for x in ready)), written
 
 
-def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents met with their settled marks, further marks of those that are open), both written."""
+def find_repeats(docs: DataFrame) -> DataFrame:
+    """Per document with repeated strings: doc_id, th (a hash of its text) and marks, its runs of repeated starts. Written."""
     small_batches(docs.sparkSession)
     anchors = _occurrences(docs, False).groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"))
     # written first, so that Spark can split the join below at very common anchors
@@ -350,50 +343,49 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = staged(mixed.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("at", "doc_id", "th")).alias("ref")), "kinds")
     crowds = kinds.groupBy("anchor").agg(F.count("*").cast("int").alias("crowd"), F.min("c").alias("least")).where("least = 1").select("anchor", "crowd")
     crowds = staged(crowds, "crowds")
+    asked = kinds.join(crowds, "anchor").select("ref.doc_id", "ref.th", "ref.at", "anchor", (F.col("c") == 1).alias("single"), "crowd")
     settled = seen.where("not mixed").select("doc_id", "th", "at").unionByName(
         mixed.join(kinds.where("c > 1").select("anchor", "content"), ["anchor", "content"]).select("doc_id", "th", "at")
     )
-    asked = kinds.join(crowds, "anchor").select("ref.doc_id", "ref.th", "ref.at", "anchor", (F.col("c") == 1).alias("single"), "crowd")
-    settled = settled.select("doc_id", "th", "at", F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("single"), F.lit(0).alias("crowd"))
-    wanted = settled.unionByName(asked).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "anchor", "single", "crowd")).alias("asks"))
-    met = staged(_meet(docs, wanted), "met")
+    # small tables first: the texts are dealt when as little else as can be lies on disk
+    asked, settled = staged(asked, "asked"), staged(settled, "settled")
     release(seen, kinds, crowds)
-    contexts = met.select("doc_id", "th", F.explode("contexts").alias("x")).select("doc_id", "th", "x.*")
-    marks, finer = _uncrowded(contexts.where(F.col("crowd") > CROWD).drop("crowd"))
+    contexts = staged(_contexts(docs, asked), "contexts")
+    release(asked)
+    marks, finer, written = _uncrowded(contexts.where(F.col("crowd") > CROWD).drop("crowd"))
     plain = contexts.where(F.col("crowd") <= CROWD).select(finer.columns)
-    return met, staged(_indexed(plain.unionByName(finer)).unionByName(marks), "marks")
+    found = staged(_indexed(plain.unionByName(finer)), "marks")
+    release(contexts)
+    every = settled.unionByName(found).unionByName(marks)
+    out = staged(every.groupBy("doc_id", "th").agg(F.collect_set("at").alias("marks")), "repeats")
+    release(settled, found, *written)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
-    met, more = find_repeats(docs)
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    marks = find_repeats(docs)
 
     def run(frames: Iterator) -> Iterator:
         for part in batches(frames):
             rows = []
-            for doc, text, marks, extra in zip(part["doc_id"], part["text"], part["marks"], part["more"], strict=True):
-                every = np.r_[np.asarray(marks, np.int64), np.asarray([] if extra is None else extra, np.int64)].astype(np.int64)
-                rows.append((doc, *_finished(text.encode(), every)[:4]))
-            yield pd.DataFrame(rows, columns=columns)
+            for doc, text, found in zip(part["doc_id"], part["text"], part["marks"], strict=True):
+                rows.append((doc, *_finished(text.encode(), np.asarray([] if found is None else found, np.int64))[:4]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    a = met.where("text is not null").select("doc_id", "th", "text", F.col("settled").alias("marks")).alias("a")
-    b = more.groupBy("doc_id", "th").agg(F.collect_list("at").alias("more")).alias("b")
+    a, b = _rows(docs).withColumn("doc_id", F.col("doc_id").cast("long")).alias("a"), marks.alias("b")
     joined = a.join(b, F.expr("a.doc_id <=> b.doc_id and a.th = b.th"), "left")
-    late = joined.select(F.col("a.doc_id").cast("string").alias("doc_id"), "a.text", "a.marks", "b.more")
+    late = joined.select(F.col("a.doc_id").cast("string").alias("doc_id"), "a.text", "b.marks")
     late = late.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    out = staged(met.where("text is null").select(columns).unionByName(late.withColumn("doc_id", F.col("doc_id").cast("long"))), "repeats")
-    release(met, more)
+    out = staged(late.withColumn("doc_id", F.col("doc_id").cast("long")), "removed")
+    release(marks)
     return out
 
 
 def trim_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated bytes removed; what is left of a character cut in two goes too. Null texts stay null, and all
     other columns stay, whatever their names."""
-    met, more = find_repeats(docs)
-    marks = met.where("size(settled) > 0").select("doc_id", "th", F.explode("settled").alias("at")).unionByName(more)
-    marks = staged(marks.groupBy("doc_id", "th").agg(F.collect_set("at").alias("marks")), "trims")
-    release(met, more)
+    marks = find_repeats(docs)
     own = free_name("th", docs.columns)
     a, b = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).alias("a"), marks.alias("b")
     joined = a.join(b, F.expr(f"a.doc_id <=> b.doc_id and a.`{own}` = b.th"), "left")

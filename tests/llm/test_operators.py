@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import string
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -483,3 +485,30 @@ def test_ann_recall(spark):
         s[query] = -np.inf
         hits += len(set(part["vec_id"]) & set(np.argsort(-s)[:20].tolist()))
     assert hits >= 0.9 * 20 * got["query_id"].nunique()
+
+
+def test_suffixes_write_no_texts(spark, monkeypatch):
+    """Long texts with one short repeat each, beside other bytes: what lies on disk between jobs is small beside the texts."""
+    own = np.random.default_rng(11)
+    passage, *some = (" ".join("".join(x) for x in own.choice(SYLLABLES, (n, 3))) for n in [60] + [3000] * 104)
+    halves = [(a + c, c + b) for c, a, b in zip(string.ascii_letters, some[::2], some[1::2], strict=True)]
+    docs = spark.createDataFrame([(i, a + passage + b) for i, (a, b) in enumerate(halves)], "doc_id long, text string")
+    write, held, most = suffixes.staged, {}, []
+
+    def size(df):
+        return sum(p.stat().st_size for p in Path(df._inkframe_path.removeprefix("file://")).glob("*.parquet"))
+
+    def staged(df, name="stage"):
+        out = write(df, name)
+        held[out._inkframe_path] = out
+        most.append(sum(map(size, held.values())))
+        return out
+
+    whole = size(write(docs, "whole"))
+    monkeypatch.setattr(suffixes, "staged", staged)
+    trimmed = {r["doc_id"]: r["text"] for r in suffixes.trim_repeats(docs).collect()}
+    assert trimmed == {i: a + b for i, (a, b) in enumerate(halves)}
+    assert {r["n_removed"] for r in suffixes.remove_repeats(docs).collect()} == {len(passage)}
+    assert max(most) < whole / 2
+    # all that is left is the marks that trim_repeats still reads, and the result
+    assert sum(size(x) > 0 for x in held.values()) == 2
