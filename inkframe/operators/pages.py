@@ -5,12 +5,16 @@ Order-dependent rules are folds over a page's boxes, kept as higher-order functi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def reading_order(boxes: DataFrame, page: str, tolerance: float = 0.5) -> DataFrame:
@@ -168,27 +172,75 @@ def duplicate_candidates(boxes: DataFrame, page: str, key: str, least: float = 0
     return both.where((F.col("iou") >= least) | F.col("same_line")).select(page, "a", "b", "iou", "same_line")
 
 
+def _over_pages(boxes: DataFrame, page: str, order: list[Column], fold: Callable[[pa.Table, list[int]], pa.Table], schema: str | StructType) -> DataFrame:
+    """`fold` over whole pages, many at a time: a table in order of pages, and where each page starts (and the last ends).
+
+    A call and a frame for each page would cost more than its few boxes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def folded(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts)
+            keys = t.column(page).to_pylist()
+            if keys:
+                yield from fold(t, [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]).to_batches()
+
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = batch.column(page).to_pylist()
+            if not keys:
+                continue
+            last = len(keys) - 1
+            while last and keys[last - 1] == keys[-1]:
+                last -= 1
+            # the last page may go on in the next batch
+            if kept and (last or kept[-1].column(page)[-1].as_py() != keys[0]):
+                yield from folded([*kept, batch.slice(0, last)])
+                kept = []
+            elif last:
+                yield from folded([batch.slice(0, last)])
+            kept.append(batch.slice(last))
+        if kept:
+            yield from folded(kept)
+
+    return boxes.repartition(page).sortWithinPartitions(page, *order).mapInArrow(run, schema)
+
+
+def _numbers(t: pa.Table, *names: str) -> Iterator[list[float]]:
+    for n in names:
+        column = t.column(n)
+        yield [math.nan if v is None else v for v in column.to_pylist()] if column.null_count else column.to_pylist()
+
+
 def merge_duplicates(boxes: DataFrame, page: str) -> DataFrame:
     """Boxes (x1, y1, x2, y2, confidence, idx) in order: one like a kept box replaces it if surer and hardly taller, else goes."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in frame.sort_values("idx").to_dict("records"):
-            for i, k in enumerate(kept):
-                w, h = (min(row[b], k[b]) - max(row[a], k[a]) for a, b in (("x1", "x2"), ("y1", "y2")))
-                shared = max(w, 0) * max(h, 0)
-                areas = [max((r["x2"] - r["x1"]) * (r["y2"] - r["y1"]), 1.0) for r in (row, k)]
-                heights, widths = [r["y2"] - r["y1"] for r in (row, k)], [r["x2"] - r["x1"] for r in (row, k)]
-                close = abs((row["y1"] + row["y2"]) - (k["y1"] + k["y2"])) / 2 <= 0.3 * min(heights)
-                if shared / (sum(areas) - shared) >= 0.65 or close and max(w, 0) >= 0.65 * min(widths):
-                    if row["confidence"] > k["confidence"] and heights[0] <= 1.12 * heights[1]:
-                        kept[i] = row
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=list(frame.columns))
-
-    return boxes.groupBy(page).applyInPandas(fold, boxes.schema)
+    def fold(t: pa.Table, starts: list[int]) -> pa.Table:
+        rows = list(zip(*_numbers(t, "x1", "y1", "x2", "y2", "confidence"), range(len(t)), strict=True))
+        out: list[int] = []
+        for start, end in pairwise(starts):
+            kept: list[tuple] = []
+            for row in rows[start:end]:
+                x1, y1, x2, y2, sure, _ = row
+                for i, (kx1, ky1, kx2, ky2, ksure, _) in enumerate(kept):
+                    high, khigh = y2 - y1, ky2 - ky1
+                    close = abs((y1 + y2) - (ky1 + ky2)) / 2 <= 0.3 * min(high, khigh)
+                    h = min(y2, ky2) - max(y1, ky1)
+                    if not close and not h > 0:
+                        continue
+                    w = min(x2, kx2) - max(x1, kx1)
+                    shared = max(w, 0) * max(h, 0)
+                    areas = max((x2 - x1) * high, 1.0) + max((kx2 - kx1) * khigh, 1.0)
+                    if shared / (areas - shared) >= 0.65 or close and max(w, 0) >= 0.65 * min(x2 - x1, kx2 - kx1):
+                        if sure > ksure and high <= 1.12 * khigh:
+                            kept[i] = row
+                        break
+                else:
+                    kept.append(row)
+            out.extend(k[-1] for k in kept)
+        return t.take(pa.array(out, pa.int64()))
+
+    return _over_pages(boxes, page, [F.col("idx").asc_nulls_last()], fold, boxes.schema)
 
 
 def cluster_words(words: DataFrame, page: str, page_width: float, width_ratio: float = 1.0, height_ratio: float = 2.5) -> DataFrame:

@@ -1,11 +1,14 @@
 """Queries without SQL work on whole texts: brute force on small tables."""
 
 import math
+import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from inkframe.operators import pages
 from inkframe.plans import queries as q
 
 HEAD = "the same first sixty characters stand at the head of this turn, "
@@ -71,3 +74,53 @@ def test_rescoring_reads_documents(spark, tmp_path):
     got = {r["doc_id"]: (round(r["score"], 9), -r["pos"]) for r in q.rescored_lines(spark, str(tmp_path)).collect()}
     want = brute_rescored(texts)
     assert set(got) == set(want) and all(got[d] == pytest.approx(want[d], abs=1e-8) for d in want)
+
+
+def brute_merged(rows):
+    kept = []
+    for r in rows:
+        for i, k in enumerate(kept):
+            w, h = min(r[2], k[2]) - max(r[0], k[0]), min(r[3], k[3]) - max(r[1], k[1])
+            shared = max(w, 0) * max(h, 0)
+            areas = [max((b[2] - b[0]) * (b[3] - b[1]), 1.0) for b in (r, k)]
+            close = abs((r[1] + r[3]) - (k[1] + k[3])) / 2 <= 0.3 * min(b[3] - b[1] for b in (r, k))
+            if shared / (sum(areas) - shared) >= 0.65 or close and max(w, 0) >= 0.65 * min(b[2] - b[0] for b in (r, k)):
+                if r[4] > k[4] and r[3] - r[1] <= 1.12 * (k[3] - k[1]):
+                    kept[i] = r
+                break
+        else:
+            kept.append(r)
+    return kept
+
+
+@pytest.fixture(scope="module")
+def many_pages():
+    # pages of all sizes, two longer than a batch, and boxes without width or height
+    r = random.Random(1)
+    sizes = [r.randrange(1, 9) for _ in range(20000)] + [700, 60]
+    box = lambda: (x := r.randrange(200), y := r.randrange(60), x + r.randrange(-1, 300), y + r.randrange(-1, 40), r.randrange(9) / 9)
+    return {p: [box() for _ in range(n)] for p, n in enumerate(sizes)}
+
+
+def of_pages(spark, many_pages):
+    rows = [(p, *map(float, b), i) for p, boxes in many_pages.items() for i, b in enumerate(boxes)]
+    random.Random(2).shuffle(rows)
+    frame = spark.createDataFrame(rows, "page long, x1 double, y1 double, x2 double, y2 double, confidence double, idx int")
+    return frame.repartition(8).cache()
+
+
+def timed(spark, query):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    began = time.time()
+    out = query.collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    return out, time.time() - began
+
+
+def test_merged_duplicates_of_many_pages(spark, many_pages):
+    boxes = of_pages(spark, many_pages)
+    boxes.count()
+    got, seconds = timed(spark, pages.merge_duplicates(boxes, "page"))
+    want = sorted((p, *b) for p, rows in many_pages.items() for b in brute_merged(rows))
+    assert sorted((r["page"], r["x1"], r["y1"], r["x2"], r["y2"], r["confidence"]) for r in got) == want
+    assert seconds < 15
