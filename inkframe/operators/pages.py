@@ -6,11 +6,10 @@ Order-dependent rules are folds over a page's boxes, kept as higher-order functi
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -246,30 +245,36 @@ def merge_duplicates(boxes: DataFrame, page: str) -> DataFrame:
 def cluster_words(words: DataFrame, page: str, page_width: float, width_ratio: float = 1.0, height_ratio: float = 2.5) -> DataFrame:
     """Word boxes of a page as lines: each word joins the nearest line by its median centre, within half a median height.
 
-    Lines wider or taller than the caps are dropped; a line's confidence grows with its words.
+    Lines wider or taller than the caps are dropped; a line's confidence grows with its words. Words come in order of
+    centres, so a line's median is in its middle, and the nearest line is the last: a line is begun only above all medians.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame[(frame["x2"] - frame["x1"] >= 2) & (frame["y2"] - frame["y1"] >= 2)]
-        f = f.assign(cy=(f["y1"] + f["y2"]) / 2).sort_values(["cy", "x1"])
-        median = float((f["y2"] - f["y1"]).median()) if len(f) else 0.0
-        lines: list[list[dict]] = []
-        for w in f.to_dict("records"):
-            gaps = [abs(w["cy"] - float(np.median([x["cy"] for x in line]))) for line in lines]
-            best = int(np.argmin(gaps)) if gaps else -1
-            if best >= 0 and gaps[best] <= 0.5 * median:
-                lines[best].append(w)
-            else:
-                lines.append([w])
-        out = []
-        for line in lines:
-            x1, y1, x2, y2 = min(w["x1"] for w in line), min(w["y1"] for w in line), max(w["x2"] for w in line), max(w["y2"] for w in line)
-            if x2 - x1 <= width_ratio * page_width and y2 - y1 <= max(height_ratio * median, median + 4):
-                out.append((frame[page].iat[0], float(x1), float(y1), float(x2), float(y2), len(line), min(1.0, len(line) / 8 + 0.2)))
-        return pd.DataFrame(out, columns=[page, "x1", "y1", "x2", "y2", "words", "confidence"])
+    def fold(t: pa.Table, starts: list[int]) -> pa.Table:
+        rows = list(zip(*_numbers(t, "x1", "y1", "x2", "y2"), strict=True))
+        at: list[int] = []
+        out: list[tuple] = []
+        for start, end in pairwise(starts):
+            found = sorted(((y1 + y2) / 2, x1, y1, x2, y2) for x1, y1, x2, y2 in rows[start:end] if x2 - x1 >= 2 and y2 - y1 >= 2)
+            if not found:
+                continue
+            median = float(statistics.median(w[4] - w[2] for w in found))
+            first = 0
+            for i in range(1, len(found) + 1):
+                middle = (found[(first + i - 1) // 2][0] + found[(first + i) // 2][0]) / 2
+                if i < len(found) and found[i][0] - middle <= 0.5 * median:
+                    continue
+                line = found[first:i]
+                x1, y1, x2, y2 = min(w[1] for w in line), min(w[2] for w in line), max(w[3] for w in line), max(w[4] for w in line)
+                if x2 - x1 <= width_ratio * page_width and y2 - y1 <= max(height_ratio * median, median + 4):
+                    at.append(start)
+                    out.append((float(x1), float(y1), float(x2), float(y2), len(line), min(1.0, len(line) / 8 + 0.2)))
+                first = i
+        kinds = [*[pa.float64()] * 4, pa.int32(), pa.float64()]
+        columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+        return pa.Table.from_arrays([t.column(page).take(pa.array(at, pa.int64())), *columns], [page, "x1", "y1", "x2", "y2", "words", "confidence"])
 
     kind = words.schema[page].dataType.simpleString()
-    return words.groupBy(page).applyInPandas(fold, f"`{page}` {kind}, x1 double, y1 double, x2 double, y2 double, words int, confidence double")
+    return _over_pages(words, page, [], fold, f"`{page}` {kind}, x1 double, y1 double, x2 double, y2 double, words int, confidence double")
 
 
 def curvature(points: DataFrame, key: str) -> DataFrame:

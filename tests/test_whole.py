@@ -93,6 +93,19 @@ def brute_merged(rows):
     return kept
 
 
+def brute_lines(rows):
+    rows = sorted((r for r in rows if r[2] - r[0] >= 2 and r[3] - r[1] >= 2), key=lambda r: ((r[1] + r[3]) / 2, r[0]))
+    m, lines = np.median([r[3] - r[1] for r in rows]) if rows else 0.0, []
+    for r in rows:
+        gaps = [abs((r[1] + r[3]) / 2 - np.median([(w[1] + w[3]) / 2 for w in line])) for line in lines]
+        if gaps and min(gaps) <= 0.5 * m:
+            lines[int(np.argmin(gaps))].append(r)
+        else:
+            lines.append([r])
+    boxes = [(min(w[0] for w in x), min(w[1] for w in x), max(w[2] for w in x), max(w[3] for w in x), len(x)) for x in lines]
+    return [b for b in boxes if b[2] - b[0] <= 1000 and b[3] - b[1] <= max(2.5 * m, m + 4)]
+
+
 @pytest.fixture(scope="module")
 def many_pages():
     # pages of all sizes, two longer than a batch, and boxes without width or height
@@ -124,3 +137,13 @@ def test_merged_duplicates_of_many_pages(spark, many_pages):
     want = sorted((p, *b) for p, rows in many_pages.items() for b in brute_merged(rows))
     assert sorted((r["page"], r["x1"], r["y1"], r["x2"], r["y2"], r["confidence"]) for r in got) == want
     assert seconds < 15
+
+
+def test_word_lines_of_many_pages(spark, many_pages):
+    boxes = of_pages(spark, many_pages)
+    boxes.count()
+    got, seconds = timed(spark, pages.cluster_words(boxes.drop("confidence", "idx"), "page", 1000.0))
+    some = {p: rows for p, rows in many_pages.items() if p % 10 == 0 or len(rows) > 9}
+    want = sorted((p, *b) for p, rows in some.items() for b in brute_lines(rows))
+    assert sorted((r["page"], r["x1"], r["y1"], r["x2"], r["y2"], r["words"]) for r in got if r["page"] in some) == want
+    assert seconds < 15
