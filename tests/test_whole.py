@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from inkframe.operators import pages
+from inkframe.operators import candidates, pages
 from inkframe.plans import queries as q
 
 HEAD = "the same first sixty characters stand at the head of this turn, "
@@ -147,3 +147,17 @@ def test_word_lines_of_many_pages(spark, many_pages):
     want = sorted((p, *b) for p, rows in some.items() for b in brute_lines(rows))
     assert sorted((r["page"], r["x1"], r["y1"], r["x2"], r["y2"], r["words"]) for r in got if r["page"] in some) == want
     assert seconds < 15
+
+
+def test_scores_by_groups_are_those_by_joins(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    words = ["a", "aba", "ab", "ba", "<s>", "</s>", "été", "no", "on", "level", "Straße", "x1", "İ"]
+    texts = {i: " ".join(r.choices(words, k=r.choice([0, 1, 2, 3, 40]))) for i in range(300)} | {-(1 << 40): " ab  ba\n", 1 << 50: "ab ba" * 900}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").cache()
+    monkeypatch.setattr(candidates, "GROUP", 2000)
+    got = {(r["doc_id"], r["pos"]): r["lm_logprob"] for r in candidates.corpus_scores(frame, "doc_id", "text").collect()}
+    model = candidates.language_model(frame, "text").cache()
+    for pos, side in ((0, frame.selectExpr("doc_id", "reverse(text) AS text")), (1, frame)):
+        want = {r["doc_id"]: r["lm_logprob"] for r in candidates.score_texts(side, "doc_id", "text", model).collect()}
+        assert set(want) == set(texts) and all(got[d, pos] == pytest.approx(v, abs=1e-6) for d, v in want.items())
+    assert len(got) == 2 * len(texts)
