@@ -20,7 +20,7 @@ def pair_errors(pairs: DataFrame, predicted: str, reference: str) -> DataFrame:
     out = pairs.withColumns({"_p": p, "_r": r, "_pw": E.words_of(F.col(predicted)), "_rw": E.words_of(F.col(reference))})
     out = out.withColumns(
         {
-            "char_edits": F.levenshtein("_p", "_r"),
+            "char_edits": E.char_distance(F.col("_p"), F.col("_r")),
             "ref_chars": F.length("_r"),
             "word_edits": E.word_distance(F.col("_pw"), F.col("_rw")),
             "ref_words": F.size("_rw"),

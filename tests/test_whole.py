@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from inkframe.operators import candidates, pages
+from inkframe.functions import edits as E
+from inkframe.operators import candidates, evaluation, pages
 from inkframe.plans import queries as q
 
 HEAD = "the same first sixty characters stand at the head of this turn, "
@@ -161,3 +163,34 @@ def test_scores_by_groups_are_those_by_joins(spark, tmp_path, monkeypatch):
         want = {r["doc_id"]: r["lm_logprob"] for r in candidates.score_texts(side, "doc_id", "text", model).collect()}
         assert set(want) == set(texts) and all(got[d, pos] == pytest.approx(v, abs=1e-6) for d, v in want.items())
     assert len(got) == 2 * len(texts)
+
+
+def test_distances_of_many_pairs(monkeypatch):
+    r = random.Random(4)
+    text = lambda n, of: "".join(r.choices(of, k=n))
+    sizes = [0, 1, 2, 63, 64, 65, 128, 129, 200, 330]
+    pairs = [(text(r.choice(sizes), of), text(r.choice(sizes), of)) for of in ("ab", "abcdefgh ", "đ語🙂x") for _ in range(80)] + [("abc" * 50, "abc" * 50)]
+    coded = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    for strip in (64, 2):
+        monkeypatch.setattr(E, "_STRIP", strip)
+        assert E.distances([coded(a) for a, _ in pairs], [coded(b) for _, b in pairs]).tolist() == [E.distance(a, b) for a, b in pairs]
+    assert all(E.distance(a, b) == edits(a, b)[-1, -1] for a, b in pairs[:12])
+
+
+def test_word_edits_of_long_texts(spark):
+    # more than 8,192 different words, all but one of them in both
+    words = [f"w{i}" for i in range(9000)]
+    rows = [(" ".join(words), " ".join([*words[:8999], "other"])), ("a b", ""), ("", ""), (None, "a")]
+    got = evaluation.pair_errors(spark.createDataFrame(rows, "p string, r string"), "p", "r").select("word_edits", "char_edits").collect()
+    assert [(x["word_edits"], x["char_edits"]) for x in got] == [(1, 5), (2, 3), (0, 0), (1, 1)]
+
+
+def test_long_pairs_in_time(spark):
+    r = random.Random(5)
+    rows = [(i, "".join(r.choices("abcdefgh ", k=8000)), "".join(r.choices("abcdefgh ", k=8000))) for i in range(48)]
+    pairs = spark.createDataFrame(rows, "i int, p string, r string").repartition(4).cache()
+    pairs.count()
+    began = time.time()
+    got = {x["i"]: x["d"] for x in pairs.select("i", E.char_distance(F.col("p"), F.col("r")).alias("d")).collect()}
+    assert time.time() - began < 10
+    assert all(got[i] == E.distance(a, b) for i, a, b in rows[:4])
