@@ -100,9 +100,12 @@ def retention(df: DataFrame, score: str, steps: int = 100) -> DataFrame:
 
     score is compared with k / steps, in doubles.
     """
-    total = df.where(F.col(score).isNotNull()).agg(F.count("*").alias("n_all"))
-    reached = F.floor(F.col(score) * steps + 1e-9).cast("int")
-    counts = df.where(F.col(score).isNotNull()).groupBy(reached.alias("k")).agg(F.count("*").alias("c"))
+    reached = F.floor(F.col(score) * steps + 1e-9)
+    # one pass: scores cost more than all that is made of them here
+    k = F.greatest(F.least(reached, F.lit(steps)), F.lit(-1)).cast("int")
+    counts = df.where(F.col(score).isNotNull()).groupBy(k.alias("k")).agg(F.count("*").alias("c"))
+    whole = counts.agg(F.collect_list(F.struct("k", "c")).alias("cs"), F.sum("c").alias("n_all"))
     grid = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("step"))
-    kept = grid.join(F.broadcast(counts), F.col("k") >= F.col("step"), "left").groupBy("step").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("kept"))
-    return kept.crossJoin(F.broadcast(total)).select("step", "kept", F.when(F.col("n_all") > 0, F.col("kept") / F.col("n_all")).otherwise(0.0).alias("share"))
+    above = F.filter("cs", lambda x: x["k"] >= F.col("step"))
+    kept = grid.crossJoin(F.broadcast(whole)).withColumn("kept", F.aggregate(above, F.lit(0).cast("long"), lambda n, x: n + x["c"]))
+    return kept.select("step", "kept", F.when(F.col("n_all") > 0, F.col("kept") / F.col("n_all")).otherwise(0.0).alias("share"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkframe.functions import edits as E
-from inkframe.operators import candidates, evaluation, pages
+from inkframe.operators import candidates, datasets, evaluation, pages
 from inkframe.plans import queries as q
 
 HEAD = "the same first sixty characters stand at the head of this turn, "
@@ -194,3 +194,13 @@ def test_long_pairs_in_time(spark):
     got = {x["i"]: x["d"] for x in pairs.select("i", E.char_distance(F.col("p"), F.col("r")).alias("d")).collect()}
     assert time.time() - began < 10
     assert all(got[i] == E.distance(a, b) for i, a, b in rows[:4])
+
+
+def test_retention_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    scored = F.udf(lambda x: seen.add(1) or x / 100, "double")
+    df = spark.range(-3, 104).select(scored("id").alias("s"))
+    got = {x["step"]: (x["kept"], x["share"]) for x in datasets.retention(df, "s").collect()}
+    assert seen.value <= 2 * 107 and got[0] == (104, 104 / 107) and got[100] == (4, 4 / 107)
+    none = datasets.retention(df.where("s > 9"), "s").collect()
+    assert len(none) == 101 and {(x["kept"], x["share"]) for x in none} == {(0, 0.0)}
