@@ -17,9 +17,9 @@ def as_lines(documents: DataFrame, text: str = "text") -> DataFrame:
 def line_measures(lines: DataFrame, line: str = "line") -> DataFrame:
     """Counts that add up over lines, and the flags of each line."""
     t, digits = F.col("_spaced"), F.col("_digit")
-    # spaced once, and rules about digits and capitals only where there are any
+    # spaced once, and rules about digits and capitals only where there are any (two capitals are two of \\p{Lu}, which is one look in a table)
     out = lines.withColumn("_spaced", T.spaced(F.col(line)))
-    out = out.withColumn("_digit", t.rlike(r"\p{Nd}"))
+    out = out.withColumns({"_digit": t.rlike(r"\p{Nd}"), "_solid": F.length(F.replace(t, F.lit(" "), F.lit("")))})
     out = out.withColumn("_suspicious", F.when(digits, T.suspicious_tokens(t)))
     out = out.withColumns(
         {
@@ -27,13 +27,13 @@ def line_measures(lines: DataFrame, line: str = "line") -> DataFrame:
             "n_digits": F.when(digits, T.digit_count(F.col(line))).otherwise(0),
             "n_noise_digits": F.when(digits, T.digits_of(F.col("_suspicious"))).otherwise(0),
             "n_abnormal": F.regexp_count(t, F.lit(rf"(?U)[^{T.EXPECTED}]")),
-            "n_visible": T.visible_chars(F.col(line)),
-            "n_capitals": F.when(t.rlike(f"[{T.CAPITALS}]{{2}}"), F.size(T.capital_tokens(t))).otherwise(0),
-            "n_tokens": F.when(t == "", 0).otherwise(1 + F.regexp_count(t, F.lit(" "))),
+            "n_visible": F.col("_solid"),
+            "n_capitals": F.when(t.rlike(r"\p{Lu}{2}"), F.size(T.capital_tokens(t))).otherwise(0),
+            "n_tokens": F.when(t == "", 0).otherwise(1 + F.length(t) - F.col("_solid")),
             "n_repeated": F.when(digits, F.size(T.repeated_numbers(t))).otherwise(0),
             "is_garbage": T.is_garbage(F.col(line)),
         }
-    ).drop("_spaced", "_digit", "_suspicious")
+    ).drop("_spaced", "_digit", "_solid", "_suspicious")
     rate = F.when(F.col("n_digits") > 0, F.col("n_noise_digits") / F.col("n_digits")).otherwise(0.0)
     odd = F.when(F.col("n_visible") > 0, F.col("n_abnormal") / F.col("n_visible")).otherwise(0.0)
     return out.withColumns(

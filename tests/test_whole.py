@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkframe.functions import edits as E
-from inkframe.operators import candidates, datasets, evaluation, pages
+from inkframe.functions import text as T
+from inkframe.operators import candidates, datasets, evaluation, pages, quality
 from inkframe.plans import queries as q
 
 HEAD = "the same first sixty characters stand at the head of this turn, "
@@ -204,3 +205,26 @@ def test_retention_scores_once(spark):
     assert seen.value <= 2 * 107 and got[0] == (104, 104 / 107) and got[100] == (4, 4 / 107)
     none = datasets.retention(df.where("s > 9"), "s").collect()
     assert len(none) == 101 and {(x["kept"], x["share"]) for x in none} == {(0, 0.0)}
+
+
+def test_line_measures_of_odd_space(spark):
+    odd = "".join(T.SPACES)
+    r = random.Random(6)
+    texts = ["", " ", odd, "a", " AB  CD ", "x​y", *("".join(r.choices(odd + "  abÀĐ1.🙂", k=r.randrange(30))) for _ in range(400))]
+    lines = spark.createDataFrame([(t,) for t in texts], "line string")
+    blank = set(odd)
+    solid = lambda t: "".join(c for c in t if c not in blank)
+    parts = lambda t: "".join(" " if c in blank else c for c in t).split(" ")
+    measured = quality.line_measures(lines).withColumn("spaced", T.spaced(F.col("line"))).withColumn("old", T.visible_chars(F.col("line")))
+    for row in measured.collect():
+        words = [w for w in parts(row["line"]) if w]
+        assert row["spaced"] == " ".join(words) and row["n_tokens"] == len(words) and row["n_visible"] == row["old"] == len(solid(row["line"]))
+
+
+def test_letters_are_not_listed(spark):
+    # an array of all letters of a line took most of the time of is_garbage
+    lines = spark.createDataFrame([("abc",)], "line string")
+    plan = lines.select(T.is_garbage(F.col("line")))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\p{L}++" in plan and "extract_all" not in plan.split(r"\p{L}++")[0].split("lambda")[0]
+    measured = quality.line_measures(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\p{Lu}{2}" in measured and f"[{T.CAPITALS}]{{2}} " not in measured
