@@ -1,11 +1,8 @@
-"""Helpers shared by the corpus operators: table reading, shared-folder checkpoints, bounded samples, graph components."""
+"""Helpers shared by the corpus operators: table reading, bounded samples, graph components."""
 
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
