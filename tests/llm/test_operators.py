@@ -512,3 +512,47 @@ def test_suffixes_write_no_texts(spark, monkeypatch):
     assert max(most) < whole / 2
     # all that is left is the marks that trim_repeats still reads, and the result
     assert sum(size(x) > 0 for x in held.values()) == 2
+
+
+def test_packing_encodes_words_once():
+    """Capitals, accents and marks beside a word cost nothing: the library is asked for each bare word once."""
+    w = packing.Words(P.path("word_bpe_49k.json"))
+    whole, asked = w.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(x for t in texts for x in t.split(" "))
+            return whole.encode_batch_fast(texts, **how)
+
+        encode_batch = encode_batch_fast
+
+    w.tokenizer = Counted()
+    bare = sorted({"é" + x for x in words(500)})
+    texts = [" ".join(f(x) for x in bare) for f in (str, str.upper, str.title, "({})".format, "{}.".format, "{},&&&".format, "{}'s".format)]
+    got = [np.frombuffer(x, "<u4").tolist() for text in texts for x in w.encode([text])]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) <= len(bare) + 10
+
+
+def test_packing_words_as_library(monkeypatch):
+    """Every Latin-1 character, short forms after apostrophes, long words, special tokens, other scripts, memories that start anew."""
+    w = packing.Words(P.path("word_bpe_49k.json"))
+    whole = w.tokenizer
+    latin = [chr(i) for i in range(256)]
+    pool = latin + list("abcdest''' ..,relvmd\n") * 6 + ["'s", "'re", "'ll", "'VE", "'S"] * 8
+    texts = ["".join(rng.choice(pool, rng.integers(0, 60))) for _ in range(3000)] + [f"a{c}b{c}{c}1{c}" for c in latin]
+    texts += ["", " ", "<|STARTOFTEXT|> x", "a<|endoftext|>b", "€ it’s É", "H̱ é", *("x" * n for n in range(13, 19)), *("." * n for n in range(13, 19))]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+    def got(k):
+        return [np.frombuffer(x, "<u4").tolist() for a in range(0, len(texts), k) for x in w.encode(texts[a : a + k])]
+
+    assert got(500) == want
+    monkeypatch.setattr(packing, "SLICE", 40)
+    assert got(3000) == want
+    monkeypatch.setattr(packing, "LISTED", 300)
+    assert got(100) == want
+    # where closing tokens can't be told, words are asked for one by one
+    w.closes[:] = False
+    w.listed = packing.Listed()
+    assert got(500) == want
